@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.session import ship
+
 #: Documents in an Arrow batch. Together with ``chunks`` it bounds what Python holds at once.
 ROWS_PER_BATCH = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -36,6 +39,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and ``body`` (the text as UTF-8 bytes, empty for null)."""
+    ship(docs.sparkSession)
     small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("id"),
@@ -186,3 +190,46 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(work, schema)
+
+
+# ---------------------------------------------------------------- rows that pass or change
+
+
+def kept(docs: DataFrame, judge: Callable[[], Callable[[list[bytes]], np.ndarray]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that a judge keeps by their texts. The judge
+    is made once for each task and sees lists of whole texts."""
+    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in batches:
+            column = batch.column(text_col).cast(pa.binary())
+            texts = [b or b"" for b in column.to_pylist()]
+            yield batch.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
+def rewritten(docs: DataFrame, writer: Callable[[], Callable[[list[bytes]], list[bytes]]], text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with their texts as a writer returns them; null texts stay null, and a
+    column of text lengths follows."""
+    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write = writer()
+        for batch in batches:
+            names = batch.schema.names
+            at = names.index(text_col)
+            old = batch.column(at).cast(pa.binary()).to_pylist()
+            new = write([b or b"" for b in old])
+            texts = pa.array([None if a is None else b.decode("utf-8", "replace") for a, b in zip(old, new, strict=True)], pa.string())
+            columns = list(batch.columns)
+            columns[at] = texts
+            if length_col in names:
+                k = names.index(length_col)
+                columns[k] = pa.array([None if t is None else len(t) for t in texts.to_pylist()], batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(work, docs.schema)
