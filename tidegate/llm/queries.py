@@ -7,12 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import bpe, decontam, toxicity
+from tidegate.llm import bpe, decontam, jaccard, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontam.op1_decontamination,
+    "op4_pii": pii.op4_pii,
     "op6_bpe": bpe.op6_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
