@@ -313,3 +313,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
         F.slice("neighbours", 1, 3).alias("evidence"),
     )
+
+
+def without_toxic(docs: DataFrame, index: Index, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``."""
+
+    def judge():
+        finder = Finder(index.terms)
+
+        def clean(bodies: list[bytes]) -> np.ndarray:
+            return np.array([index.score(*finder.of(b))[0] < threshold for b in bodies], bool)
+
+        return clean
+
+    return common.kept(docs, judge, text_col)
