@@ -7,15 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegate.llm import bpe, decontam, jaccard, lattice, linecrf, pii, toxicity, urls
+from tidegate.llm import bpe, decontam, jaccard, lattice, linecrf, pii, pq, records, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontam.op1_decontamination,
     "op2_url_filter": urls.op2_url_filter,
+    "op3_embedding_dedup": pq.op3_embedding_dedup,
     "op4_pii": pii.op4_pii,
     "op5_quality": linecrf.op5_quality,
     "op6_bpe": bpe.op6_bpe,
     "op7_lattice_lm": lattice.op7_lattice_lm,
+    "op8_token_records": records.op8_token_records,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
