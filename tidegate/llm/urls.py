@@ -62,26 +62,21 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def symbols(url: Column) -> Column:
-    """The url as an array of symbol numbers: letters 0-25, digit 26, / 27, . 28, - 29, other 30."""
-    plain = F.translate(F.coalesce(url, F.lit("")), _UPPER + "123456789", _LOWER + "0" * 9)
-    chars = F.filter(F.split(plain, ""), lambda c: c != "")
+    """The url as an array of symbol numbers: letters 0-25, digit 26, / 27, . 28, - 29, other 30.
+    The characters after z in ASCII stand for those after the letters."""
+    plain = F.translate(F.coalesce(url, F.lit("")), _UPPER + "0123456789/.-{|}~", _LOWER + "{" * 10 + "|}~" + "\x7f" * 4)
+    plain = F.regexp_replace(plain, "[^a-z{|}~]", "\x7f")
+    return F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.ascii(c) - 97)
 
-    def number(c: Column) -> Column:
-        a = F.ascii(c)
-        return F.when((a >= 97) & (a <= 122), a - 97).when(a == 48, 26).when(a == 47, 27).when(a == 46, 28).when(a == 45, 29).otherwise(30)
 
-    return F.transform(chars, number)
-
-
-def codes(url: Column) -> Column:
-    """For each place of the url the code of the four symbols that end there; start is symbol 31."""
-    s = F.concat(F.array(*[F.lit(31)] * (ORDER - 1)), symbols(url))
-
-    def code(x: Column, i: Column) -> Column:
-        first = F.get(s, i)
-        return ((first * SYMBOLS + F.get(s, i + 1)) * SYMBOLS + F.get(s, i + 2)) * SYMBOLS + x
-
-    return F.transform(symbols(url), code)
+def codes(s: Column) -> Column:
+    """For each place of an array of symbols the code of the four that end there; the start is
+    symbol 31."""
+    padded, n = F.concat(F.array(*[F.lit(31)] * (ORDER - 1)), s), F.size(s)
+    join = lambda k: lambda x, y: x * (SYMBOLS**k) + y
+    first = F.zip_with(F.slice(padded, 1, n), F.slice(padded, 2, n), join(1))
+    last = F.zip_with(F.slice(padded, 3, n), s, join(1))
+    return F.zip_with(first, last, join(2))
 
 
 def tag(code: Column, order: int) -> Column:
@@ -172,12 +167,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``score`` and ``cut`` by page."""
     rules = RULES if rules is None else rules
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("times"))
-    rows = common.written(ruled(rows, rules), "urls")
-    with_codes = rows.withColumn("codes", codes(F.col("url")))
+    rows = common.written(rows.withColumn("symbols", symbols(F.col("url"))), "urls")
+    rows = rows.withColumn("codes", codes(F.col("symbols"))).drop("symbols")
     fold = F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 5
-    known = with_codes.where("by_rule is not null")
-    table = common.written(ratios(counts(known.where(fold != 0))), "ratios")
-    all_ = common.written(scored(with_codes, table), "scored")
+    known = ruled(rows, rules).where("by_rule is not null")
+    table = common.written(ratios(common.written(counts(known.where(fold != 0)), "counts")), "ratios")
+    all_ = common.written(ruled(scored(rows, table), rules), "scored")
     at = cut(all_.where("by_rule is not null").where(fold == 0))
     verdict = F.coalesce("by_rule", F.when(F.col("score") >= at, "allow").otherwise("block"))
     out = all_.withColumn("verdict", verdict).withColumn("cut", F.lit(at))
