@@ -36,7 +36,8 @@ from tidegate.llm import common
 
 #: Words that are looked up on the workers.
 FREQUENT = 200_000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+SLICE = 1 << 18
 #: Chance that a word ends after a piece; shift of the ranks in Zipf's law.
 STOP = 0.3
 SHIFT = 10.0
@@ -91,9 +92,14 @@ class Pieces:
         return self.keys[at] == h, self.weights[at]
 
     def log_probs(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of each word's marginal probability."""
-        if not words:
-            return np.zeros(0)
+        """Natural log of each word's marginal probability; words go in slices of about SLICE
+        characters, which bounds the lattice that is held."""
+        ends = np.cumsum([len(w) for w in words]) // SLICE
+        cuts = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1], True]) if len(words) else np.zeros(0, np.int64)
+        parts = [self._log_probs(words[s:e]) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _log_probs(self, words: list[bytes]) -> np.ndarray:
         texts = ["▁" + w.decode("utf-8", "replace") for w in words]
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -204,11 +210,11 @@ def score(docs: DataFrame, counts: DataFrame, path: str, id_col: str = "doc_id",
     top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     words = [bytes(r.word) for r in top]
     c = np.array([r.c for r in top], float)
+    own = _lattice(pieces(path), words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = pieces(path)
         known = {w: k for k, w in enumerate(words)}
-        own = _lattice(lattice, words)
         base, mixed = model.base(c), model.mixed(c, own)
         end = (known[END], 0.0) if END in known else (-1, float(model.mixed(np.zeros(1), np.array([math.log(STOP)]))[0]))
         for part in common.chunks(batches, CHUNK_BYTES):
