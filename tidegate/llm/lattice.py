@@ -10,7 +10,7 @@ is predicted by its count, what was not by its spelling. A document's score is t
 probability of its words and one end.
 
 Counting and scoring follow the corpus: word counts are summed in chunks, then by word. The
-FREQUENT most frequent words go to the workers as a table; every other (document, word) pair meets
+most frequent words, FREQUENT at most, go to the workers as a table; every other (document, word) pair meets
 the word's count in a shuffled join, in which no word is frequent, and sums return to the
 documents. No words are left out and the table's size only moves work between the two ways.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidegate.llm import common
 
 #: Words that are looked up on the workers.
-FREQUENT = 200_000
+FREQUENT = 100_000
 CHUNK_BYTES = 4 << 20
 SLICE = 1 << 18
 #: Chance that a word ends after a piece; shift of the ranks in Zipf's law.
@@ -184,6 +184,20 @@ def word_counts(bodies: DataFrame) -> DataFrame:
     return bodies.select("body").mapInArrow(work, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """The words above a count that at most ``most`` words reach, told from a histogram over powers
+    of two, so neither a sort nor more than those words reach the driver."""
+    step = F.floor(F.log2("c") * 8)
+    hist = sorted(((r.b, r.n) for r in counts.groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = None, 0
+    for b, n in hist:
+        total += n
+        if total > most:
+            break
+        least = b
+    return counts.where(F.lit(False)) if least is None else counts.where(step >= least)
+
+
 class Model:
     """Totals of the counts, and how a token's two log10 probabilities come from its count."""
 
@@ -207,7 +221,7 @@ def score(docs: DataFrame, counts: DataFrame, path: str, id_col: str = "doc_id",
     written table of counts."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     model = Model(path, int(total.n), int(total.v))
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    top = frequent(counts).collect()
     words = [bytes(r.word) for r in top]
     c = np.array([r.c for r in top], float)
     own = _lattice(pieces(path), words)
