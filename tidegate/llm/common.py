@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def chunks(batches: Iterable[pa.RecordBatch], most_bytes: int, column: str = "bo
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        lens = np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1]) if batch.num_rows else np.zeros(0, int)
+        lens = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
         start = 0
         for k, n in enumerate(lens.tolist()):
             if size and size + n > most_bytes:
@@ -132,12 +133,13 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node: rows ``node``, ``root``.
 
     Alternating large-star and small-star steps over the link table; every step is a grouped
     minimum (partial sums first) joined back, and is written out, so neither a long chain nor a
-    hub with many links gathers in one task. Nodes without links don't appear.
+    hub with many links gathers in one task. The number of steps grows with the logarithm of the
+    largest component. Nodes without links don't appear.
     """
     now = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
@@ -149,7 +151,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = mark(now)
     if not seen[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(most_rounds):
+    while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
