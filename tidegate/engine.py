@@ -275,6 +275,26 @@ def last_values(program: Program | str, messages: DataFrame, emissions: DataFram
     return rows.groupBy("subject").agg(F.max_by("payload", "path").alias("payload"), F.max("path")[0].alias("seq"))
 
 
+def replayed(program: Program | str, messages: DataFrame, pattern: str, joined: int) -> DataFrame:
+    """What a subscription to ``$LVC.<pattern>`` that joins after message number ``joined`` gets: the
+    cached values first, then every later message of a subject that an lvc filter names."""
+    program = load(program) if isinstance(program, str) else program
+    mine = messages.where(matches(pattern, F.col("subject")))
+    cached = last_values(program, mine.where(F.col("seq") <= joined)).select("seq", "subject", "payload", F.lit(True).alias("cached"))
+    wanted = F.lit(False)
+    for f in program.lvc:
+        wanted = wanted | matches(f, F.col("subject"))
+    live = mine.where(wanted & (F.col("seq") > joined)).select("seq", "subject", "payload", F.lit(False).alias("cached"))
+    return cached.unionByName(live).withColumn("subject", F.concat(F.lit("$LVC."), "subject"))
+
+
+def status_messages(stats: DataFrame) -> DataFrame:
+    """Statistics as messages ``$STATS.rules.<rule>.<count>``."""
+    names = [c for c in stats.columns if c != "rule_idx"]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("long").alias("value")) for n in names])).alias("s")
+    return stats.select("rule_idx", each).select(F.concat(F.lit("$STATS.rules."), F.col("rule_idx").cast("string"), F.lit("."), F.col("s.name")).alias("subject"), F.col("s.value").cast("string").alias("payload"))
+
+
 def delivered(subscriptions: DataFrame, messages: DataFrame) -> DataFrame:
     """Messages by subscription (``sid``, ``filter``, optional ``queue`` and ``most``): every plain
     subscription gets each message that fits; of a queue group one member does, chosen by a hash;

@@ -245,6 +245,14 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.statistics('(on "events.*.*" (-> payload-float (round 0) (squelch) (publish! "o.x")))', sources.events(spark, sf_dir))
 
 
+def lvc_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.replayed('(lvc ["events.purchase.>"])', sources.events(spark, sf_dir, "props"), "events.*.*", 500)
+
+
+def stats_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.status_messages(stats(spark, sf_dir))
+
+
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegate.lang.program import load
 
@@ -262,6 +270,8 @@ EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "subscriptions": (subscriptions, f"WITH {M} SELECT CAST(1 AS INTEGER) AS sid, seq, subject FROM m WHERE event_type = 'click' UNION ALL SELECT CAST(2 AS INTEGER), seq, subject FROM m WHERE user_id = 5 UNION ALL SELECT * FROM (SELECT CAST(3 AS INTEGER), seq, subject FROM m WHERE subject = 'events.error.2' ORDER BY seq LIMIT 2)"),
     "queue_group": (queue_group, f"WITH {M} SELECT seq, subject FROM m WHERE event_type = 'click'"),
     "statistics": (stats, f"WITH {M}, r AS (SELECT *, floor(x + 0.5) AS v FROM m), p AS (SELECT *, lag(v) {W} AS pv, row_number() {W} AS rn FROM r) SELECT CAST(0 AS INTEGER) AS rule_idx, count(*) AS matched, CAST(sum(CASE WHEN rn = 1 OR v <> pv THEN 1 ELSE 0 END) AS BIGINT) AS emitted, CAST(sum(CASE WHEN rn = 1 OR v <> pv THEN 0 ELSE 1 END) AS BIGINT) AS suppressed, CAST(0 AS BIGINT) AS failures FROM p"),
+    "lvc_replay": (lvc_replay, f"WITH {M} SELECT max(seq) AS seq, '$LVC.' || subject AS subject, arg_max(props, seq) AS payload, TRUE AS cached FROM m WHERE event_type = 'purchase' AND seq <= 500 GROUP BY subject UNION ALL SELECT seq, '$LVC.' || subject, props, FALSE FROM m WHERE event_type = 'purchase' AND seq > 500"),
+    "stats_messages": (stats_messages, f"WITH {M}, r AS (SELECT *, floor(x + 0.5) AS v FROM m), p AS (SELECT *, lag(v) {W} AS pv, row_number() {W} AS rn FROM r), s AS (SELECT count(*) AS n, sum(CASE WHEN rn = 1 OR v <> pv THEN 1 ELSE 0 END) AS e FROM p) SELECT '$STATS.rules.0.matched' AS subject, CAST(n AS VARCHAR) AS payload FROM s UNION ALL SELECT '$STATS.rules.0.emitted', CAST(CAST(e AS BIGINT) AS VARCHAR) FROM s UNION ALL SELECT '$STATS.rules.0.suppressed', CAST(CAST(n - e AS BIGINT) AS VARCHAR) FROM s UNION ALL SELECT '$STATS.rules.0.failures', '0'"),
     "export": (export_rows, q_num("x")),
     "sse_envelopes": (sse_envelopes, f"""WITH {M} SELECT '{{"subject":"' || subject || '","payload":"' || replace(props, '"', '\\"') || '"}}' AS value FROM m WHERE subject = 'events.click.5'"""),
 }
