@@ -249,7 +249,10 @@ def read(manifest: DataFrame) -> DataFrame:
                     )
                     start += int(n.sum())
 
-    return manifest.select("file", "before", "part").repartition("part").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # one task for each file, though the rows that name them are few: the number is given, so that
+    # it isn't lowered to fit their bytes
+    files = manifest.select("file", "before", "part")
+    return files.repartitionByRange(max(1, files.count()), "part").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
