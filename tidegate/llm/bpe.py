@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegate.llm import common
 
 #: Bytes of text encoded together; pieces kept between chunks.
-CHUNK_BYTES = 16 << 20
-CACHE_PIECES = 400_000
+CHUNK_BYTES = 4 << 20
+CACHE_PIECES = 200_000
 
 # The pattern of the byte-level format, and the code points below U+10000 on which
 # the regex module and the tokenizers library have different Unicode tables. Texts that hold one of

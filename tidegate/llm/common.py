@@ -93,6 +93,7 @@ def chunks(batches: Iterable[pa.RecordBatch], most_bytes: int, column: str = "bo
                     held.append(batch.slice(start, k - start))
                 yield pa.Table.from_batches(held)
                 held, size, start = [], 0, k
+                pa.default_memory_pool().release_unused()
             size += n
         if batch.num_rows > start:
             held.append(batch.slice(start))

@@ -41,7 +41,7 @@ Z_LEAST = 5.0
 PREFIXES = (4, 5, 6, 7, 8, 10)
 STRIP = b".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`@"
 CHUNK_BYTES = 16 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def terms_of(word: bytes) -> list[bytes]:
@@ -287,7 +287,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
                 terms, counts, n = finder.of(body)
                 key = (terms.tobytes(), counts.tobytes(), n) if len(terms) else ()
                 if key not in known:
-                    if len(known) > 50_000:
+                    if len(known) > 20_000:
                         known.clear()
                     known[key] = index.score(terms, counts, n)
                 got.append(known[key])
