@@ -183,6 +183,51 @@ def test_nearest_is_exact():
         assert (near == want).all() and np.allclose(cos, full[want])
 
 
+def test_toxic_copies_without_tied_words(spark):
+    """Examples whose words are tied to no label are found by their texts."""
+    r = random.Random(11)
+    rows = [(k, " ".join(filler(r, 40)) + (" vile scum" if k % 5 == 0 else "")) for k in range(200)]
+    lone = " ".join(f"zq{k}x" for k in range(25))
+    rows += [(200 + k, lone) for k in range(2)] + [(300, lone.upper() + "!"), (301, lone + " and on"), (302, "unheard, of"), (303, "...")]
+    labels = [(k, int(k % 5 == 0)) for k in range(200)] + [(200, 1), (201, 1)]
+    assert {zlib.crc32(str(k).encode()) % 4 == 2 for k in (200, 201)} == {False}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {x.id: x for x in toxicity.score(df, index).collect()}
+    for k in (300, 301):
+        assert got[k].neighbours[:2] == [200, 201] and got[k].score >= toxicity.THRESHOLD
+    assert got[300].cosines[:2] == pytest.approx([1, 1]) and 0.9 < got[301].cosines[0] < 1
+    assert got[302].neighbours == got[303].neighbours == [] and got[302].score == got[303].score == index.empty_score
+    assert {x.doc_id for x in toxicity.without_toxic(df, index).collect()} == {k for k, x in got.items() if x.score < toxicity.THRESHOLD}
+
+
+def test_cosines_are_over_all_words(spark):
+    """Neighbours and cosines of whole texts against sums over dictionaries."""
+    r = random.Random(12)
+    rows = [(k, " ".join(filler(r, r.randint(1, 60)) + r.choices([f"rare{j}" for j in range(300)], k=6)) + (" viler, vile scum" if k % 6 == 0 else "")) for k in range(300)]
+    labels = [(k, int(k % 6 == 0)) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    count = {k: Counter(x for w in t.encode().lower().split() for x in toxicity.terms_of(w)) for k, t in rows}
+    known = [(k, y) for k, y in labels if zlib.crc32(str(k).encode()) % 4 != 2]
+    n, p = len(known), sum(y for _, y in known) / len(known)
+    df1, df0 = Counter(t for k, y in known if y for t in count[k]), Counter(t for k, y in known if not y for t in count[k])
+    tied = {t for t, a in df1.items() if a >= 4 and (a - (a + df0[t]) * p) / ((a + df0[t]) * p * (1 - p)) ** 0.5 >= toxicity.Z_LEAST}
+    assert b"scum" in tied and b"vile*" in tied
+
+    def vector(k):
+        v = {t: (1 + np.log(c)) * (np.log((1 + n) / (1 + df1[t] + df0[t])) + 1) * (toxicity.BOOST if t in tied else 1) for t, c in count[k].items() if t in tied or not t.endswith(b"*")}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / size for t, x in v.items()}
+
+    every = {k: vector(k) for k, _ in known}
+    for x in toxicity.score(df, index).collect():
+        v = vector(x.id)
+        cos = {k: round(sum(a * v.get(t, 0) for t, a in u.items()), 10) for k, u in every.items()}
+        assert [round(c, 10) for c in x.cosines] == pytest.approx(sorted(cos.values(), reverse=True)[: toxicity.K], abs=1e-9)
+        assert [cos[k] for k in x.neighbours] == pytest.approx(x.cosines, abs=1e-9)
+
+
 def test_quality_held_out(spark, odd, nothing):
     def make(r, bad):
         lines = []

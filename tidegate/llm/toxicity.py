@@ -1,46 +1,55 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Terms are words and word beginnings that a bounded sample of labelled documents ties to the toxic
-label. A document is the TF-IDF vector of its terms and of one term that stands for all its other
-words, so that a lone suspicious word in a long clean text weighs little. The labelled examples
-form an inverted index whose lists are cut into blocks of consecutive examples; a block's upper
-bound for a query is the sum of its terms' block maxima, blocks are opened from the highest bound
-down and the search ends when no bound reaches the k-th best cosine, so the neighbours are exact.
-Their votes, weighted by cosine, are calibrated on the examples themselves (each left out of its
-own neighbours) and come with the neighbours' ids as evidence.
-
-The index is bounded by MAX_EXAMPLES and MAX_TERMS, which is what makes it safe to send to every
-worker; every document is scored against all of it.
-
-Defined cases: null and empty texts have no terms and get the score of documents without terms;
-equal cosines are taken by the smaller example id; rows that repeat are scored each; a document
-with several label rows counts as toxic if any row says so; without labelled rows, or with labels
-of one kind only, every score is the share of toxic labels (0 without any).
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over whole texts.
+
+A document is the TF-IDF vector of all its words and of the word beginnings that a bounded sample
+of labelled documents ties to the toxic label; words and beginnings so tied weigh BOOST times as
+much, the others as they are, so a copy of an example has cosine 1 with it whatever its words.
+The labelled examples are searched by every text that has a word: inverted lists of all terms, with
+weights in single precision, give the cosines of all examples roughly, and the examples
+that can be among the k nearest within its error are summed anew in double precision, so the
+neighbours are exact. Their votes, weighted by cosine, are calibrated on the examples themselves
+(each left out of its own neighbours) and come with the neighbours' ids as evidence.
+
+The index is bounded by MAX_EXAMPLES and the length of their texts, which is what makes it safe to
+send to every worker; every document is scored against all of it.
+
+Defined cases: null and empty texts, and texts without a word of the examples, have no neighbours and
+get the share of toxic labels of the empty examples (of all without any); equal cosines are taken by
+the smaller example id; rows that repeat are scored each; a document with several label rows counts
+as toxic if any row says so; without labelled rows, or with labels of one kind only, every score is
+the share of toxic labels (0 without any).
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import common
 
-#: Labelled rows to learn from, and terms in the index: what bounds the model.
+#: Labelled rows to learn from, and terms tied to the label: with the length of the texts what bounds the model.
 MAX_EXAMPLES = 8000
-MAX_TERMS = 4000
-#: Neighbours that vote; examples in a block.
+MAX_TIED = 4000
+#: Neighbours that vote.
 K = 15
-BLOCK = 64
-#: A term counts when its toxic examples exceed their expected number by so many deviations.
+#: A term is tied to the label when its toxic examples exceed their expected number by so many
+#: deviations; it weighs so many times as much as another.
 Z_LEAST = 5.0
+BOOST = 6.0
 PREFIXES = (4, 5, 6, 7, 8, 10)
+#: More than single-precision weights can move a cosine.
+ROUGH = 1e-6
+#: Bounds of a slice of texts searched at once.
+QUERIES, POSTINGS, SLICE_BYTES = 64, 1 << 20, 1 << 20
 STRIP = b".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`@"
-CHUNK_BYTES = 16 << 20
 CACHE_WORDS = 200_000
 
 
@@ -52,93 +61,146 @@ def terms_of(word: bytes) -> list[bytes]:
     return [core, *(core[:k] + b"*" for k in PREFIXES if len(core) >= k)]
 
 
-class Index:
-    """Labelled examples as unit TF-IDF vectors in blocked inverted lists, with their votes calibrated."""
+class Words:
+    """Numbers of words and of marked beginnings. The words lie in one buffer behind their sorted hashes
+    and are compared byte for byte, so that hundreds of thousands stay small in every worker."""
+
+    def __init__(self, terms: list[bytes]):
+        self.marked = {t: k for k, t in enumerate(terms) if t.endswith(b"*")}
+        hashes = np.array([xxhash.xxh64_intdigest(t) for t in terms], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.number = array("Q", hashes[order].tobytes()), array("q", order.astype(np.int64).tobytes())
+        self.buffer = b"".join(terms)
+        self.ends = array("q", np.cumsum([len(t) for t in terms], dtype=np.int64).tobytes())
+        # what a word adds to a document: itself (if it is one of the terms) and its marked beginnings;
+        # a word in no example adds those of its longest marked beginning
+        adds = [[*([k] if not t.endswith(b"*") else []), *self.beginnings(t.removesuffix(b"*"))] for k, t in enumerate(terms)]
+        self.start = np.cumsum([0, *map(len, adds)])
+        self.adds = np.array([x for a in adds for x in a], np.int64)
+
+    def beginnings(self, core: bytes) -> list[int]:
+        return [self.marked[t] for k in PREFIXES if len(core) >= k and (t := core[:k] + b"*") in self.marked]
+
+    def find(self, core: bytes) -> int:
+        """The number of a word, -1 if it is none of the terms."""
+        h = xxhash.xxh64_intdigest(core)
+        at = bisect_left(self.hashes, h)
+        while at < len(self.hashes) and self.hashes[at] == h:
+            k = self.number[at]
+            if self.buffer[self.ends[k - 1] if k else 0 : self.ends[k]] == core:
+                return k
+            at += 1
+        return -1
+
+
+class Bags(NamedTuple):
+    """Terms and counts of documents, end to end; ``unseen``: of each document the sum of
+    (1 + log count)^2 over its words that are in no example."""
+
+    start: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+    unseen: np.ndarray
+
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        s = slice(self.start[k], self.start[k + 1])
+        return self.terms[s], self.counts[s], float(self.unseen[k])
+
 
-    def __init__(self, terms: list[bytes], df: np.ndarray, n_docs: int):
-        self.terms = {t: k for k, t in enumerate(terms)}
-        self.idf = np.log((1 + n_docs) / (1 + df)) + 1
-        self.base = 1.0  # weight of the term for all other words, per log of their number
+class Index:
+    """Labelled examples as unit TF-IDF vectors in inverted lists, with their votes calibrated."""
+
+    def __init__(self, terms: list[bytes], df: np.ndarray, n_docs: int, weighty: np.ndarray | None = None):
+        self.words = Words(terms)
+        #: Of each term, and last of a word in no example.
+        self.idf = np.log((1 + n_docs) / (1 + np.r_[df, 0.0])) + 1
+        if weighty is not None:
+            self.idf[:-1][weighty] *= BOOST
         self.ids = np.zeros(0, np.int64)
+        self.labels = np.zeros(0)
         self.empty_score = 0.0
 
     # ---- vectors
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vector over terms; the last dimension is for all other words."""
+    def vector(self, terms: np.ndarray, counts: np.ndarray, unseen: float) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector over terms. Words in no example meet none, but are part of the length."""
         w = (1 + np.log(counts)) * self.idf[terms]
-        rest = self.base * np.log1p(n_words)
-        norm = np.sqrt((w * w).sum() + rest * rest)
-        return np.r_[terms, len(self.idf)], np.r_[w, rest] / norm
+        return terms, w / np.sqrt((w * w).sum() + unseen * self.idf[-1] ** 2)
 
     def build(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.labels = ids[order], labels[order].astype(float)
-        n, dims = len(order), len(self.idf) + 1
-        blocks = -(-n // BLOCK)
-        doc = np.repeat(np.arange(n), [len(vectors[k][0]) for k in order])
-        term = np.concatenate([vectors[k][0] for k in order]) if n else np.zeros(0, int)
-        value = np.concatenate([vectors[k][1] for k in order]) if n else np.zeros(0)
-        by = np.lexsort((doc, term))
-        self.doc, self.value = doc[by], value[by].astype(np.float64)
-        self.start = np.searchsorted(term[by], np.arange(dims + 1))
-        #: Of each term and block: first posting and largest weight.
-        self.block_max = np.zeros((dims, blocks), np.float64)
-        np.maximum.at(self.block_max, (term, doc // BLOCK), value)
-        self.block_start = np.searchsorted(term[by] * blocks + self.doc // BLOCK, np.arange(dims * blocks + 1)).reshape(-1) if n else np.zeros(1, int)
-        self.blocks = blocks
+        n, dims = len(order), len(self.idf)
+        lens = np.array([len(vectors[k][0]) for k in order], np.int64)
+        doc = np.repeat(np.arange(n, dtype=np.int32), lens)
+        #: The vectors themselves, end to end.
+        self.first = np.r_[0, np.cumsum(lens)]
+        self.term = np.concatenate([np.zeros(0, np.int32), *(vectors[k][0] for k in order)]).astype(np.int32)
+        self.value = np.concatenate([np.zeros(0), *(vectors[k][1] for k in order)])
+        #: Of each term its examples.
+        by = np.argsort(self.term, kind="stable")
+        self.doc, self.weight = doc[by], self.value[by].astype(np.float32)
+        self.start = np.searchsorted(self.term[by], np.arange(dims + 1)).astype(np.int64)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples, by cosine and then by id."""
-        bounds = weights @ self.block_max[terms]
-        order = np.argsort(-bounds, kind="stable")
-        best = np.zeros(0, np.int64)
-        score = np.zeros(0)
-        at, step = 0, 4
-        while at < len(order):
-            kth = score[k - 1] if len(score) >= k else -1.0
-            if bounds[order[at]] < kth - 1e-12:
-                break
-            opened = order[at : at + step]
-            at, step = at + step, step * 2
-            got = np.zeros((len(opened), BLOCK))
-            place = np.full(self.blocks, -1)
-            place[opened] = np.arange(len(opened))
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                s = self.block_start[t * self.blocks + opened]
-                n = self.block_start[t * self.blocks + opened + 1] - s
-                p = common.ranges(s, n)
-                d = self.doc[p]
-                got[place[d // BLOCK], d % BLOCK] += w * self.value[p]
-            docs = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            vals = np.round(got.ravel(), 12)
-            keep = (docs < len(self.ids)) & (docs != without) & (vals > 0)
-            best = np.concatenate([best, docs[keep]])
-            score = np.concatenate([score, vals[keep]])
-            top = np.lexsort((best, -score))[:k]
-            best, score = best[top], score[top]
-        return best, score
+        return next(self.search([(terms, weights)], k, [without]))
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each vector, in slices of at most QUERIES vectors and POSTINGS list entries
+        (or one vector)."""
+        cost = [int((self.start[t + 1] - self.start[t]).sum()) if len(self.ids) else 0 for t, _ in vectors]
+        s = 0
+        while s < len(vectors):
+            e, held = s + 1, cost[s]
+            while e < len(vectors) and e - s < QUERIES and held + cost[e] <= POSTINGS:
+                held += cost[e]
+                e += 1
+            yield from self._search(vectors[s:e], k, without[s:e] if without else [-1] * (e - s))
+            s = e
+
+    def _search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = len(self.ids)
+        if not n:
+            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in vectors)
+            return
+        who = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        terms = np.concatenate([t for t, _ in vectors])
+        weights = np.concatenate([w for _, w in vectors])
+        length = self.start[terms + 1] - self.start[terms]
+        p = common.ranges(self.start[terms], length)
+        rough = np.bincount(np.repeat(who * n, length) + self.doc[p], np.repeat(weights, length) * self.weight[p], len(vectors) * n)
+        rough = rough.reshape(-1, n).astype(float)  # counts without any list entry are integers
+        for i, own in enumerate(without):
+            if own >= 0:
+                rough[i, own] = 0
+        # whatever can be among the k nearest is summed anew
+        least = np.partition(rough, n - k, axis=1)[:, n - k] - ROUGH if n > k else np.zeros(len(vectors))
+        full = np.zeros(len(self.idf))
+        for i, (t, w) in enumerate(vectors):
+            docs = np.flatnonzero((rough[i] >= least[i]) & (rough[i] > 0))
+            if not len(docs):
+                yield docs, np.zeros(0)
+                continue
+            full[t] = w
+            lens = self.first[docs + 1] - self.first[docs]
+            p = common.ranges(self.first[docs], lens)
+            cos = np.round(np.add.reduceat(full[self.term[p]] * self.value[p], np.cumsum(lens) - lens), 12)
+            full[t] = 0
+            top = np.lexsort((docs, -cos))[:k]
+            yield docs[top], cos[top]
 
     # ---- votes
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
-        near, cos = self.nearest(terms, weights, K, without)
-        if not len(near):
-            return 0.0, near
+    def vote(self, near: np.ndarray, cos: np.ndarray) -> float:
         w = cos**4
-        return float((w * self.labels[near]).sum() / w.sum()), near
+        return float((w * self.labels[near]).sum() / w.sum()) if len(near) and w.sum() > 0 else 0.0
 
     def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray) -> None:
         """A monotone map from votes to shares of toxic labels (pool adjacent violators)."""
-        order = np.argsort(ids, kind="stable")
-        votes = np.zeros(len(order))
-        bare = np.zeros(len(order), bool)
-        for i, k in enumerate(order.tolist()):
-            t, w = vectors[k]
-            if len(t) < 2:
-                bare[i] = True
-            else:
-                votes[i] = self.vote(t, w, without=i)[0]
+        order = np.argsort(ids, kind="stable").tolist()
+        bare = np.array([not len(vectors[k][0]) for k in order], bool)
+        votes = np.array([self.vote(*found) for found in self.search([vectors[k] for k in order], K, list(range(len(order))))])
         y = self.labels
         self.empty_score = float(y[bare].mean()) if bare.any() else (float(y.mean()) if len(y) else 0.0)
         x, t = votes[~bare], y[~bare]
@@ -155,46 +217,67 @@ class Index:
         self.knots = np.array([p[0] for p in pools] or [0.0])
         self.shares = np.array([(p[1] * p[2] + p[0]) / (p[2] + 1) for p in pools] or [self.empty_score])
 
-    def score(self, terms: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[float, list[int], list[float]]:
-        if not len(self.ids) or not len(terms):
-            return self.empty_score, [], []
-        t, w = self.vector(terms, counts, n_words)
-        near, cos = self.nearest(t, w, K)
-        if not len(near):
-            return self.empty_score, [], []
-        v = cos**4
-        vote = float((v * self.labels[near]).sum() / v.sum())
-        out = float(np.clip(np.interp(vote, self.knots, self.shares), 0, 1))
-        return out, self.ids[near].tolist(), cos.tolist()
+    def score(self, bags: Bags) -> Iterator[tuple[float, list[int], list[float]]]:
+        """Score, neighbours' ids and cosines of each document."""
+        for near, cos in self.search([self.vector(*bags.of(k)) for k in range(len(bags.unseen))], K):
+            if not len(near):
+                yield self.empty_score, [], []
+                continue
+            out = float(np.clip(np.interp(self.vote(near, cos), self.knots, self.shares), 0, 1))
+            yield out, self.ids[near].tolist(), cos.tolist()
 
 
 class Finder(dict):
-    """Word -> number of its list of terms; 0: none of the index's terms."""
+    """Word as it stands in the text -> number of the term whose ``adds`` it brings; NONE: a word
+    in no example, without a marked beginning; BLANK: punctuation only and no word at all. Words in
+    no example with a marked beginning have the number of the longest one."""
+
+    NONE, BLANK = -1, -2
 
-    def __init__(self, terms: dict[bytes, int]):
-        self.terms = terms
-        self.lists: list[tuple[int, ...]] = [()]
+    def __init__(self, words: Words):
+        self.words = words
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE_WORDS:
             self.clear()
-        found = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-        n = 0
-        if found:
-            n = len(self.lists)
-            self.lists.append(found)
+        core = word.strip(STRIP)
+        n = self.words.find(core) if core else self.BLANK
+        if n == self.NONE and (known := self.words.beginnings(core)):
+            n = known[-1]
         self[word] = n
         return n
 
-    def of(self, body: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-        """Terms, their counts, and the number of words."""
-        words = body.lower().split()
-        hit = [n for n in map(self.__getitem__, words) if n]
-        if not hit:
-            return np.zeros(0, np.int64), np.zeros(0), len(words)
-        count = Counter(t for n in hit for t in self.lists[n])
-        terms = sorted(count)
-        return np.array(terms, np.int64), np.array([count[t] for t in terms], float), len(words)
+    def of(self, bodies: list[bytes]) -> Bags:
+        words, found, unseen = self.words, [], np.zeros(len(bodies))
+        marks = set(words.marked.values())
+        for k, body in enumerate(bodies):
+            split = body.lower().split()
+            got = list(map(self.__getitem__, split))
+            found.append(np.array(got, np.int64))
+            strange = Counter(w.strip(STRIP) for w, n in zip(split, got, strict=True) if n == self.NONE or n in marks)
+            if strange:
+                unseen[k] = ((1 + np.log(np.fromiter(strange.values(), float))) ** 2).sum()
+        doc = np.repeat(np.arange(len(bodies)), [len(f) for f in found])
+        term = np.concatenate([np.zeros(0, np.int64), *found])
+        doc, term = doc[term >= 0], term[term >= 0]
+        length = words.start[term + 1] - words.start[term]
+        dims = len(words.start)
+        pair, count = np.unique(np.repeat(doc * dims, length) + words.adds[common.ranges(words.start[term], length)], return_counts=True)
+        return Bags(np.searchsorted(pair, np.arange(len(bodies) + 1) * dims), pair % dims, count.astype(float), unseen)
+
+
+def slices(bodies: list[bytes]) -> Iterator[list[bytes]]:
+    """Of at most QUERIES texts and SLICE_BYTES bytes, or one text."""
+    part: list[bytes] = []
+    size = 0
+    for b in bodies:
+        if part and (len(part) == QUERIES or size + len(b) > SLICE_BYTES):
+            yield part
+            part, size = [], 0
+        part.append(b)
+        size += len(b)
+    if part:
+        yield part
 
 
 # ---------------------------------------------------------------- learning
@@ -220,57 +303,61 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for body, y in zip(common.bodies(batch), batch.column("y").to_pylist(), strict=True):
             n[y].update({t for w in set(body.lower().split()) for t in terms_of(w)})
-            n[y][b""] += 1  # the documents themselves
     both = list(n[0].keys() | n[1].keys())
     yield pa.RecordBatch.from_arrays(
         [pa.array(both, pa.binary()), pa.array([n[1][t] for t in both], pa.int64()), pa.array([n[0][t] for t in both], pa.int64())], names=["term", "n1", "n0"]
     )
 
 
-def choose_terms(counts: DataFrame) -> tuple[list[bytes], np.ndarray, int, int]:
-    """The terms most tied to label 1, their document frequencies, and the examples of each label."""
+def choose_terms(counts: DataFrame, n1: int, n0: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """All words of the examples and the beginnings most tied to label 1, their document
+    frequencies, and which are tied to the label. ``n1``, ``n0``: examples of each label."""
     counts = counts.groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    total = counts.where(F.length("term") == 0).first()
-    if not total or not total.n1 or not total.n0:
-        return [], np.zeros(0), int(total.n1) if total else 0, int(total.n0) if total else 0
-    p = total.n1 / (total.n1 + total.n0)
+    p = n1 / (n1 + n0)
     n = F.col("n1") + F.col("n0")
     z = (F.col("n1") - n * p) / F.sqrt(n * p * (1 - p))
-    rows = (
-        counts.where((F.length("term") > 0) & (F.col("n1") >= 4))
-        .select("term", n.alias("n"), z.alias("z"), "n1")
-        .where(F.col("z") >= Z_LEAST)
-        .orderBy(F.desc("z"), "term")
-        .limit(MAX_TERMS)
-        .collect()
-    )
-    return [bytes(r.term) for r in rows], np.array([r.n for r in rows], float), int(total.n1), int(total.n0)
+    tied = (F.col("n1") >= 4) & (z >= Z_LEAST)
+    rows = counts.where(tied | ~F.endswith("term", F.lit(b"*"))).select("term", n.alias("n"), F.when(tied, z).alias("z")).toArrow()
+    terms = rows.column("term").to_pylist()
+    df, z = rows.column("n").to_numpy(), np.nan_to_num(rows.column("z").to_numpy().astype(float), nan=-1.0)
+    order = sorted(range(len(terms)), key=lambda k: (-z[k], terms[k]))
+    order = [k for at, k in enumerate(order) if at < MAX_TIED or not terms[k].endswith(b"*")]
+    weighty = z[order] > 0
+    weighty[MAX_TIED:] = False
+    return [terms[k] for k in order], df[order].astype(float), weighty
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 2) -> Index:
     """The index over a bounded sample of labelled documents."""
     sample = examples(docs, labels, label, seed)
     sample = common.written(sample, "examples").repartition(12)
-    terms, df, n1, n0 = choose_terms(sample.mapInArrow(_term_counts, "term binary, n1 long, n0 long"))
-    index = Index(terms, df, n1 + n0)
-    index.empty_score = n1 / (n1 + n0) if n1 + n0 else 0.0
-    if not terms:
+    n = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    if not n1 or not n0:
+        index = Index([], np.zeros(0), n1 + n0)
+        index.empty_score = 1.0 if n1 else 0.0
         return index
-    table = index.terms
+    terms, df, weighty = choose_terms(sample.mapInArrow(_term_counts, "term binary, n1 long, n0 long"), n1, n0)
+    index = Index(terms, df, n1 + n0, weighty)
+    words = index.words
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(table)
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(words)
         for batch in batches:
-            got = [finder.of(b) for b in common.bodies(batch)]
+            b = finder.of(common.bodies(batch))
+            start = pa.array(b.start, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [common.ids(batch), batch.column("y"), pa.array([g[0].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[1].tolist() for g in got], pa.list_(pa.float64())), pa.array([g[2] for g in got], pa.int64())],
-                names=["id", "y", "terms", "counts", "n_words"],
+                [common.ids(batch), batch.column("y"), pa.ListArray.from_arrays(start, pa.array(b.terms, pa.int64())), pa.ListArray.from_arrays(start, pa.array(b.counts))],
+                names=["id", "y", "terms", "counts"],
             )
 
-    rows = sample.mapInArrow(vectors, "id long, y int, terms array<long>, counts array<double>, n_words long").collect()
-    vecs = [index.vector(np.array(r.terms, np.int64), np.array(r.counts, float), r.n_words) for r in rows]
-    ids = np.array([r.id for r in rows], np.int64)
-    index.build(ids, np.array([r.y for r in rows]), vecs)
+    rows = sample.mapInArrow(bags, "id long, y int, terms array<long>, counts array<double>").toArrow()
+    vecs = [
+        index.vector(t.values.to_numpy(), c.values.to_numpy(), 0.0)
+        for t, c in zip(rows.column("terms"), rows.column("counts"), strict=True)
+    ]
+    ids = rows.column("id").to_numpy()
+    index.build(ids, rows.column("y").to_numpy(), vecs)
     index.calibrate(vecs, ids)
     return index
 
@@ -279,18 +366,9 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     """``id``, ``score``, ``neighbours`` and their ``cosines`` for every row of ``docs``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(index.terms)
-        known: dict[tuple, tuple] = {}
+        finder = Finder(index.words)
         for batch in batches:
-            got = []
-            for body in common.bodies(batch):
-                terms, counts, n = finder.of(body)
-                key = (terms.tobytes(), counts.tobytes(), n) if len(terms) else ()
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[key] = index.score(terms, counts, n)
-                got.append(known[key])
+            got = [g for part in slices(common.bodies(batch)) for g in index.score(finder.of(part))]
             yield pa.RecordBatch.from_arrays(
                 [common.ids(batch), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                 names=["id", "score", "neighbours", "cosines"],
@@ -319,10 +397,10 @@ def without_toxic(docs: DataFrame, index: Index, threshold: float = THRESHOLD, t
     """The rows of ``docs`` that score below ``threshold``."""
 
     def judge():
-        finder = Finder(index.terms)
+        finder = Finder(index.words)
 
         def clean(bodies: list[bytes]) -> np.ndarray:
-            return np.array([index.score(*finder.of(b))[0] < threshold for b in bodies], bool)
+            return np.array([g[0] < threshold for part in slices(bodies) for g in index.score(finder.of(part))], bool)
 
         return clean
 
