@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 
 from tidegate.session import ship
 
-#: Documents in an Arrow batch. Together with ``chunks`` it bounds what Python holds at once.
+#: Documents and bytes in an Arrow batch. Together with ``chunks`` they bound what Python holds at once.
 ROWS_PER_BATCH = 1000
+BYTES_PER_BATCH = 16 << 20
+#: Bytes of text that a judge or a writer of documents sees at once, but for a single longer one.
+JUDGED_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of ROWS_PER_BATCH rows, unless the session has its own setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+    """Arrow batches of at most ROWS_PER_BATCH rows and BYTES_PER_BATCH bytes (one row at least), unless
+    the session has settings of its own. The settings stay with the session: plans read them when they run."""
+    for key, plain, ours in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", ROWS_PER_BATCH),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), BYTES_PER_BATCH),
+    ):
+        if spark.conf.get(key, plain).removesuffix("b") == plain:
+            spark.conf.set(key, str(ours))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,11 +66,15 @@ def fold(id_col: str, modulus: int) -> F.Column:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests, local mode) a temporary folder takes its place and the
-    setting is made for the session, so that it is read in one place only.
+    Where the setting is absent and the master is this process (tests), a temporary folder takes its
+    place and the setting is made for the session, so that it is read in one place only. A cluster
+    without the setting is an error: executors wouldn't see one another's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidegate-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -72,11 +83,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written to the shared folder once and read back: a short lineage that
     survives the loss of any executor."""
-    path = shared_dir(df.sparkSession, name)
+    return written_at(df, shared_dir(df.sparkSession, name))
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared place that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 
@@ -85,7 +105,7 @@ def chunks(batches: Iterable[pa.RecordBatch], most_bytes: int, column: str = "bo
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        lens = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        lens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = 0
         for k, n in enumerate(lens.tolist()):
             if size and size + n > most_bytes:
@@ -101,6 +121,17 @@ def chunks(batches: Iterable[pa.RecordBatch], most_bytes: int, column: str = "bo
         yield pa.Table.from_batches(held)
 
 
+def strings(part: pa.Table | pa.RecordBatch, column: str = "body") -> pa.StringArray:
+    """The texts as Arrow strings; bytes that are no UTF-8 are replaced."""
+    got = part.column(column)
+    got = got.combine_chunks() if isinstance(got, pa.ChunkedArray) else got
+    got = pa.concat_arrays(got.chunks) if isinstance(got, pa.ChunkedArray) else got
+    try:
+        return got.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if b is None else b.decode("utf-8", "replace") for b in got.to_pylist()], pa.string())
+
+
 def bodies(part: pa.Table | pa.RecordBatch, column: str = "body") -> list[bytes]:
     return part.column(column).to_pylist()
 
@@ -134,17 +165,31 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- components
 
 
+#: A node with more links than this, or than one in 100,000 of all, is a hub: there are few of them.
+HUB_LINKS, MOST_HUBS = 200, 100_000
+
+
+def _with_least(rows: DataFrame, low: DataFrame, n_links: int) -> DataFrame:
+    """``u``, ``v`` and ``m``, the value that ``low`` (``u``, ``m``, ``n``: rows) has for u. Hubs are
+    at most MOST_HUBS rows (2 * n_links rows are there, and each has more than its share of them)
+    and meet their rows by broadcast; other nodes have few rows and meet theirs by a shuffle."""
+    hub = max(HUB_LINKS, 2 * n_links // MOST_HUBS)
+    hubs, rest = F.broadcast(low.where(F.col("n") > hub).select("u", "m")), low.where(F.col("n") <= hub).select("u", "m")
+    return rows.join(hubs, "u").unionAll(rows.join(hubs, "u", "left_anti").join(rest, "u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node: rows ``node``, ``root``.
 
     Alternating large-star and small-star steps over the link table; every step is a grouped
-    minimum (partial sums first) joined back, and is written out, so neither a long chain nor a
-    hub with many links gathers in one task. The number of steps grows with the logarithm of the
-    largest component. Nodes without links don't appear.
+    minimum (partial sums first) joined back, and is written out. A hub's rows stay where they are
+    and are told its minimum, so neither a long chain nor a hub gathers in one task. The number of
+    steps grows with the logarithm of the largest component; the table of the step before is
+    removed. Nodes without links don't appear.
     """
-    now = written(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
-    )
+    spark = edges.sparkSession
+    path = shared_dir(spark, "links")
+    now = written_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), path)
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -154,18 +199,20 @@ def components(edges: DataFrame) -> DataFrame:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("v > u"), low, seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low2, "u")
+            _with_least(large, low2, seen[0])
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
             .distinct()
         )
-        now = written(small, "links")
+        before, path = path, shared_dir(spark, "links")
+        now = written_at(small, path)
         here = mark(now)
+        removed(spark, before)
         if here == seen:
             break
         seen = here
@@ -198,18 +245,17 @@ def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 # ---------------------------------------------------------------- rows that pass or change
 
 
-def kept(docs: DataFrame, judge: Callable[[], Callable[[list[bytes]], np.ndarray]], text_col: str = "text") -> DataFrame:
+def kept(docs: DataFrame, judge: Callable[[], Callable[[pa.StringArray], np.ndarray]], text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that a judge keeps by their texts. The judge
-    is made once for each task and sees lists of whole texts."""
+    is made once for each task and sees whole texts, JUDGED_BYTES at a time; null counts as empty."""
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = judge()
-        for batch in batches:
-            column = batch.column(text_col).cast(pa.binary())
-            texts = [b or b"" for b in column.to_pylist()]
-            yield batch.filter(pa.array(keep(texts), pa.bool_()))
+        for part in chunks(batches, JUDGED_BYTES, text_col):
+            texts = pc.fill_null(strings(part, text_col), "")
+            yield from part.filter(pa.array(keep(texts), pa.bool_())).to_batches()
 
     return docs.mapInArrow(work, docs.schema)
 
@@ -222,17 +268,16 @@ def rewritten(docs: DataFrame, writer: Callable[[], Callable[[list[bytes]], list
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write = writer()
-        for batch in batches:
-            names = batch.schema.names
+        for part in chunks(batches, JUDGED_BYTES, text_col):
+            names = part.schema.names
             at = names.index(text_col)
-            old = batch.column(at).cast(pa.binary()).to_pylist()
+            old = part.column(at).cast(pa.binary()).to_pylist()
             new = write([b or b"" for b in old])
             texts = pa.array([None if a is None else b.decode("utf-8", "replace") for a, b in zip(old, new, strict=True)], pa.string())
-            columns = list(batch.columns)
-            columns[at] = texts
+            part = part.set_column(at, part.schema.field(at), texts.cast(part.schema.field(at).type))
             if length_col in names:
                 k = names.index(length_col)
-                columns[k] = pa.array([None if t is None else len(t) for t in texts.to_pylist()], batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                part = part.set_column(k, part.schema.field(k), pc.utf8_length(texts).cast(part.schema.field(k).type))
+            yield from part.to_batches()
 
     return docs.mapInArrow(work, docs.schema)
