@@ -1,7 +1,9 @@
 import hashlib
+import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -183,6 +185,52 @@ def test_nearest_is_exact():
         assert (near == want).all() and np.allclose(cos, full[want])
 
 
+@pytest.mark.parametrize("heads, block", [(0, 1), (5, 7), (40, 16), (512, 64)])
+def test_block_maxima_leave_no_neighbour_out(monkeypatch, heads, block):
+    monkeypatch.setattr(toxicity, "HEADS", heads)
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "POSTINGS", 500)
+    r = np.random.default_rng(6)
+    index = toxicity.Index([b"t%d" % k for k in range(300)], r.integers(1, 90, 300).astype(float), 200)
+    vecs = []
+    for k in range(200):
+        t = np.unique(np.minimum(r.geometric(0.02, 20), 300) - 1) if k else np.zeros(0, np.int64)
+        vecs.append(index.vector(t, r.integers(1, 4, len(t)).astype(float), 0.0 if k % 3 else 9.0))
+    vecs[9] = vecs[8]
+    ids = r.permutation(1000)[:200]
+    index.build(ids, np.zeros(200), vecs)
+    dense = np.zeros((200, 301))
+    for k, (t, w) in enumerate(vecs):
+        dense[k, t] = w
+    full = np.round(dense @ dense.T, 12)
+    at = {i: k for k, i in enumerate(index.ids.tolist())}
+    found = list(index.search(toxicity.stacked(vecs), 9, np.array([at[i] for i in ids.tolist()])))
+    for k, (near, cos) in enumerate(found):
+        others = np.flatnonzero((np.arange(200) != k) & (full[k] > 0))
+        want = others[np.lexsort((ids[others], -full[k, others]))][:9]
+        assert index.ids[near].tolist() == ids[want].tolist() and np.allclose(cos, full[k, want])
+
+
+def test_other_labels_count_as_none(spark):
+    df = spark.createDataFrame([(k, "vile scum" if k < 20 else "fine words") for k in range(40)], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, int(k < 20)) for k in range(40)] + [(3, 7), (30, -1), (31, None)], "doc_id long, toxic int")
+    index = toxicity.fit(df, lab)
+    assert set(index.labels) == {0.0, 1.0} and len(index.ids) == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(40))
+    got = {r.id: r.score for r in toxicity.score(df, index).collect()}
+    assert got[3] > 0.5 > got[30]
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    rows = [(k, "a" * 100) for k in range(40)] + [(1, "b" * 900), (1, "c")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int".replace(", at int", ""))
+    lab = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    every = toxicity.examples(df, lab, "toxic", 2).collect()
+    assert len(every) == len({r.id for r in every}) and all(bytes(r.body) == b"a" * 100 for r in every)
+    some = toxicity.examples(df, lab, "toxic", 2, most_bytes=550).collect()
+    assert [r.id for r in sorted(some, key=lambda r: r["at"])] == [r.id for r in sorted(every, key=lambda r: r["at"])][:5]
+    assert toxicity.examples(df, lab, "toxic", 2, most_bytes=1).count() == 1
+
+
 def test_toxic_copies_without_tied_words(spark):
     """Examples whose words are tied to no label are found by their texts."""
     r = random.Random(11)
@@ -253,6 +301,67 @@ def test_quality_held_out(spark, odd, nothing):
     assert {r.score for r in linecrf.score(odd, linecrf.fit(df, lab.limit(0))).collect()} == {1.0}
 
 
+def plain_marginals(scores, trans):
+    """Of a chain of lines, by enumeration of all label paths."""
+    total, good, pairs = 0.0, np.zeros(len(scores)), np.zeros((2, 2))
+    for path in itertools.product((0, 1), repeat=len(scores)):
+        p = math.exp(sum(s for s, y in zip(scores, path, strict=True) if y) + sum(trans[a, b] for a, b in itertools.pairwise(path)))
+        total += p
+        good += p * np.array(path)
+        for a, b in itertools.pairwise(path):
+            pairs[a, b] += p
+    return good / total, pairs / total
+
+
+def random_field(seed=8):
+    r = np.random.default_rng(seed)
+    field = linecrf.Field()
+    field.constant, field.slope, field.offset = None, 1.3, -0.4
+    field.weights, field.trans = r.normal(size=(3, linecrf.N_FEATURES)), r.normal(size=(2, 2))
+    return field
+
+
+LINES = ["Plain words here.", "", "same same same", "### ???", "éà 12 12 x", " \t ", "END"]
+
+
+@pytest.mark.parametrize("run, lines, size", [(2000, 20000, 1 << 20), (1, 2, 9), (3, 1, 1), (2, 5, 40)])
+def test_marginals_equal_enumeration(monkeypatch, run, lines, size):
+    monkeypatch.setattr(linecrf, "RUN", run)
+    monkeypatch.setattr(linecrf, "SLICE_LINES", lines)
+    monkeypatch.setattr(linecrf, "SLICE_BYTES", size)
+    r, field = random.Random(9), random_field()
+    docs = ["\n".join(r.choice(LINES) for _ in range(r.randint(1, 9))).encode() for _ in range(30)] + [b"", b"\n\n"]
+    good, per_doc, sizes = field.lines(docs)
+    pairs, at = np.zeros((2, 2)), 0
+    want_score = []
+    for d, n in zip(docs, per_doc.tolist(), strict=True):
+        rows = d.split(b"\n")
+        assert n == len(rows) and sizes[at : at + n].tolist() == [len(x) + 1 for x in rows]
+        x = np.vstack([linecrf.line_features([y])[0] for y in rows])
+        s = [x[k] @ field.weights[0] + (x[k - 1] @ field.weights[1] if k else 0) + (x[k + 1] @ field.weights[2] if k + 1 < n else 0) for k in range(n)]
+        want, p = plain_marginals(s, field.trans)
+        assert np.allclose(good[at : at + n], want)
+        pairs += p
+        q = np.clip((want * sizes[at : at + n]).sum() / sizes[at : at + n].sum(), 1e-4, 1 - 1e-4)
+        want_score.append(1 / (1 + math.exp(-(field.slope * math.log(q / (1 - q)) + field.offset))))
+        at += n
+    assert np.allclose(field.score(docs), want_score)
+    if run == 2000:
+        assert np.allclose(field.marginals(linecrf.beside(linecrf.line_features(docs)[0] @ field.weights.T, per_doc), per_doc)[1], pairs)
+
+
+def test_a_million_short_lines():
+    field = random_field()
+    text = b"a\nbc\n\n" * 350_000
+    tracemalloc.start()
+    got = field.score([text, b"a"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(got).all() and peak < 600 << 20
+    few = field.lines([b"a\nbc\n\n" * 400])[0]
+    assert np.allclose(field.lines([text])[0][:300], few[:300]) and np.allclose(field.lines([text])[0][-300:], few[-300:])
+
+
 # ---------------------------------------------------------------- language model
 
 

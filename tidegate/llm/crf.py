@@ -51,6 +51,44 @@ def forward_backward(e: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tupl
     return z, np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None], pairs
 
 
+def _chain(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Forward scores of one long sequence of (place, label) scores, in about sqrt(places) runs that
+    are worked through side by side: first for each label before a run, which tells how runs
+    follow one another, then with what really comes before them."""
+    t, k = e.shape
+    width = max(1, int(np.sqrt(t)))
+    n = -(-t // width)
+    runs = np.zeros((n * width, k))
+    runs[:t] = e
+    runs = runs.reshape(n, width, k)
+
+    def forward(start: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        now = runs[:, 0] + start
+        for i in range(width):
+            if i:
+                now = _sum_exp(now[:, :, None] + trans[None], 1) + runs[:, i]
+            if out is not None:
+                out[:, i] = now
+        return now
+
+    through = np.stack([forward(np.broadcast_to(trans[s], (n, k))) for s in range(k)], axis=1)
+    start = np.zeros((n, k))
+    last = forward(start)[0]
+    for i in range(1, n):
+        start[i] = _sum_exp(last[:, None] + trans, 0)
+        last = _sum_exp(last[:, None] + through[i], 0)
+    out = np.empty_like(runs)
+    forward(start, out)
+    return out.reshape(n * width, k)[:t]
+
+
+def long_marginals(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Label marginals by place of one sequence, in a number of steps that grows with the square
+    root of its length."""
+    both = _chain(e, trans) + _chain(e[::-1], trans.T)[::-1] - e
+    return np.exp(both - _sum_exp(both, 1)[:, None])
+
+
 def viterbi(e: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Best labels by sequence and place. Of equal paths the one with lower labels wins."""
     b, t, k = e.shape

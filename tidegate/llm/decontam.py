@@ -274,9 +274,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
         def judge(index: Index = index):
             terms = Terms(index.vocab)
 
-            def held(texts: list[bytes]) -> np.ndarray:
+            def held(texts: pa.StringArray) -> np.ndarray:
                 keep = np.ones(len(texts), bool)
-                keep[[h[0] for h in search(index, terms, texts)]] = False
+                keep[[h[0] for h in search(index, terms, texts.cast(pa.binary()).to_pylist())]] = False
                 return keep
 
             return held

@@ -3,40 +3,43 @@
 A document is the TF-IDF vector of all its words and of the word beginnings that a bounded sample
 of labelled documents ties to the toxic label; words and beginnings so tied weigh BOOST times as
 much, the others as they are, so a copy of an example has cosine 1 with it whatever its words.
-The labelled examples are searched by every text that has a word: inverted lists of all terms, with
-weights in single precision, give the cosines of all examples roughly, and the examples
-that can be among the k nearest within its error are summed anew in double precision, so the
-neighbours are exact. Their votes, weighted by cosine, are calibrated on the examples themselves
-(each left out of its own neighbours) and come with the neighbours' ids as evidence.
-
-The index is bounded by MAX_EXAMPLES and the length of their texts, which is what makes it safe to
+The labelled examples are searched by every text that has a word. Like examples lie in blocks of
+BLOCK, and an inverted list has, for each term and block, the largest weight and then the examples.
+The lists of the HEADS most common terms are dense rows, whose share of the cosines is one matrix
+product. The largest weights of the other terms bound what they can add in a block; only blocks that
+can reach the k-th best cosine are read. This is in single precision; the examples that can be among
+the k nearest within its error are summed anew in double precision, so the neighbours are exact. Their votes, weighted by cosine, are
+calibrated on the examples themselves (each left out of its own neighbours) and come with the
+neighbours' ids as evidence.
+
+The index is bounded by MAX_EXAMPLES and MAX_BYTES of their texts, which is what makes it safe to
 send to every worker; every document is scored against all of it.
 
 Defined cases: null and empty texts, and texts without a word of the examples, have no neighbours and
-get the share of toxic labels of the empty examples (of all without any); equal cosines are taken by
-the smaller example id; rows that repeat are scored each; a document with several label rows counts
-as toxic if any row says so; without labelled rows, or with labels of one kind only, every score is
-the share of toxic labels (0 without any).
+get the share of toxic labels of the empty examples (of all without any); long texts are one vector
+of all their words; equal cosines are taken by the smaller example id; rows that repeat are scored
+each; labels other than 0 and 1 count as none; a document with several label rows counts as toxic if
+any row says so, and of labelled rows with the same id the smallest text is learnt from; without
+labelled rows, or with labels of one kind only, every score is the share of toxic labels (0 without
+any); an empty table gives no rows. Columns beside the id and the text aren't read.
 """
 
 from __future__ import annotations
 
-from array import array
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import common
 
-#: Labelled rows to learn from, and terms tied to the label: with the length of the texts what bounds the model.
-MAX_EXAMPLES = 8000
+#: Labelled rows to learn from, bytes of their texts, and terms tied to the label: what bounds the model.
+MAX_EXAMPLES, MAX_BYTES = 3000, 64 << 20
 MAX_TIED = 4000
 #: Neighbours that vote.
 K = 15
@@ -45,52 +48,37 @@ K = 15
 Z_LEAST = 5.0
 BOOST = 6.0
 PREFIXES = (4, 5, 6, 7, 8, 10)
-#: More than single-precision weights can move a cosine.
-ROUGH = 1e-6
-#: Bounds of a slice of texts searched at once.
-QUERIES, POSTINGS, SLICE_BYTES = 64, 1 << 20, 1 << 20
-STRIP = b".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`@"
-CACHE_WORDS = 200_000
+#: Examples in a block; terms whose lists are dense rows.
+BLOCK, HEADS = 64, 512
+#: More than sums in single precision can move a cosine.
+ROUGH = 1e-5
+#: Bounds of a slice of texts searched at once, and of texts whose vectors are made at once.
+QUERIES, POSTINGS, CHUNK_BYTES = 64, 1 << 20, 4 << 20
+STRIP = ".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`@"
 
 
 def terms_of(word: bytes) -> list[bytes]:
     """A word without its punctuation, and its beginnings (marked by a trailing *)."""
-    core = word.strip(STRIP)
+    core = word.strip(STRIP.encode())
     if not core:
         return []
     return [core, *(core[:k] + b"*" for k in PREFIXES if len(core) >= k)]
 
 
-class Words:
-    """Numbers of words and of marked beginnings. The words lie in one buffer behind their sorted hashes
-    and are compared byte for byte, so that hundreds of thousands stay small in every worker."""
+class Vectors(NamedTuple):
+    """Sparse rows, end to end."""
 
-    def __init__(self, terms: list[bytes]):
-        self.marked = {t: k for k, t in enumerate(terms) if t.endswith(b"*")}
-        hashes = np.array([xxhash.xxh64_intdigest(t) for t in terms], np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.number = array("Q", hashes[order].tobytes()), array("q", order.astype(np.int64).tobytes())
-        self.buffer = b"".join(terms)
-        self.ends = array("q", np.cumsum([len(t) for t in terms], dtype=np.int64).tobytes())
-        # what a word adds to a document: itself (if it is one of the terms) and its marked beginnings;
-        # a word in no example adds those of its longest marked beginning
-        adds = [[*([k] if not t.endswith(b"*") else []), *self.beginnings(t.removesuffix(b"*"))] for k, t in enumerate(terms)]
-        self.start = np.cumsum([0, *map(len, adds)])
-        self.adds = np.array([x for a in adds for x in a], np.int64)
-
-    def beginnings(self, core: bytes) -> list[int]:
-        return [self.marked[t] for k in PREFIXES if len(core) >= k and (t := core[:k] + b"*") in self.marked]
-
-    def find(self, core: bytes) -> int:
-        """The number of a word, -1 if it is none of the terms."""
-        h = xxhash.xxh64_intdigest(core)
-        at = bisect_left(self.hashes, h)
-        while at < len(self.hashes) and self.hashes[at] == h:
-            k = self.number[at]
-            if self.buffer[self.ends[k - 1] if k else 0 : self.ends[k]] == core:
-                return k
-            at += 1
-        return -1
+    start: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+
+def stacked(rows: list[tuple[np.ndarray, np.ndarray]]) -> Vectors:
+    lens = [len(t) for t, _ in rows]
+    return Vectors(np.r_[0, np.cumsum(lens)].astype(np.int64), np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)]), np.concatenate([np.zeros(0), *(w for _, w in rows)]))
 
 
 class Bags(NamedTuple):
@@ -102,9 +90,57 @@ class Bags(NamedTuple):
     counts: np.ndarray
     unseen: np.ndarray
 
-    def of(self, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-        s = slice(self.start[k], self.start[k + 1])
-        return self.terms[s], self.counts[s], float(self.unseen[k])
+
+class Words:
+    """Numbers of words and of marked beginnings, as Arrow arrays that every worker holds once."""
+
+    def __init__(self, terms: list[bytes]):
+        marked = np.array([t.endswith(b"*") for t in terms], bool)
+        self.words, self.word_numbers = pa.array([t for t, m in zip(terms, marked, strict=True) if not m], pa.binary()), np.flatnonzero(~marked)
+        by_length: dict[int, list[int]] = {}
+        for n in np.flatnonzero(marked).tolist():
+            by_length.setdefault(len(terms[n]) - 1, []).append(n)
+        self.beginnings = [(k, pa.array([terms[n][:-1] for n in found], pa.binary()), np.array(found)) for k, found in sorted(by_length.items())]
+
+    def of(self, texts: pa.StringArray) -> Bags:
+        """Words are what stands between ASCII blanks, in lower case and without punctuation at either end."""
+        n = len(texts)
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        doc = np.repeat(np.arange(n), np.diff(parts.offsets.to_numpy()))
+        raw = parts.flatten().dictionary_encode()
+        core = pc.ascii_trim(raw.dictionary, STRIP).dictionary_encode()
+        words = core.dictionary.cast(pa.binary())
+        which = core.indices.to_numpy()[raw.indices.to_numpy()]
+        # counts of each word in each document
+        pair, count = np.unique(doc * (len(words) + 1) + which, return_counts=True)
+        doc, which = pair // (len(words) + 1), pair % (len(words) + 1)
+        real = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)[which]
+        doc, which, count = doc[real], which[real], count[real]
+        # a word is one of the terms or unseen
+        at = pc.index_in(words, self.words)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        number = np.full(len(words), -1, np.int64)
+        number[known] = self.word_numbers[at.drop_null().to_numpy()]
+        term = number[which]
+        seen = term >= 0
+        unseen = np.bincount(doc[~seen], (1 + np.log(count[~seen])) ** 2, n) if n else np.zeros(0)
+        # and brings its marked beginnings, which other words may bring too
+        dims = len(self.word_numbers) + sum(len(found) for _, _, found in self.beginnings) + 1
+        keys, times = [], []
+        for k, value_set, found in self.beginnings:
+            at = pc.index_in(pc.binary_slice(words, 0, k), value_set)
+            has = at.is_valid().to_numpy(zero_copy_only=False)
+            mark = np.full(len(words), -1, np.int64)
+            mark[has] = found[at.drop_null().to_numpy()]
+            of_pair = mark[which]
+            on = of_pair >= 0
+            keys.append(doc[on] * dims + of_pair[on])
+            times.append(count[on])
+        marks, inverse = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+        mark_counts = np.bincount(inverse, np.concatenate([np.zeros(0), *times]), len(marks))
+        doc, term, count = np.r_[doc[seen], marks // dims], np.r_[term[seen], marks % dims], np.r_[count[seen], mark_counts].astype(float)
+        by = np.argsort(doc, kind="stable")
+        return Bags(np.searchsorted(doc[by], np.arange(n + 1)), term[by], count[by], unseen)
 
 
 class Index:
@@ -122,73 +158,136 @@ class Index:
 
     # ---- vectors
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray, unseen: float) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vector over terms. Words in no example meet none, but are part of the length."""
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum() + unseen * self.idf[-1] ** 2)
+    def vectors(self, bags: Bags) -> Vectors:
+        """Unit vectors over terms. Words in no example meet none, but are part of the length."""
+        n = len(bags.unseen)
+        doc = np.repeat(np.arange(n), np.diff(bags.start))
+        w = (1 + np.log(bags.counts)) * self.idf[bags.terms]
+        square = np.bincount(doc, w * w, n) + bags.unseen * self.idf[-1] ** 2
+        return Vectors(bags.start, bags.terms, w / np.sqrt(square)[doc])
 
-    def build(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        order = np.argsort(ids, kind="stable")
+    def vector(self, terms: np.ndarray, counts: np.ndarray, unseen: float) -> tuple[np.ndarray, np.ndarray]:
+        got = self.vectors(Bags(np.array([0, len(terms)]), terms, counts, np.array([float(unseen)])))
+        return got.terms, got.weights
+
+    def build(self, ids: np.ndarray, labels: np.ndarray, vectors: Vectors | list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """``ids``, ``labels`` and vectors of the examples, in any order."""
+        v = stacked(vectors) if isinstance(vectors, list) else vectors
+        n, dims = len(v), len(self.idf)
+        lens = np.diff(v.start)
+        self._lay(np.argsort(ids, kind="stable"), ids, labels, v, lens, n, dims, 1)
+        if n > BLOCK:
+            # like examples in like blocks: each goes to the nearest of some leaders
+            leaders = np.linspace(0, n - 1, max(2, int(np.sqrt(n)))).astype(np.int64)
+            best, whose = np.full(n, -1.0), np.zeros(n, np.int64)
+            for j, k in enumerate(leaders.tolist()):
+                t, w = self.term[self.first[k] : self.first[k + 1]], self.value[self.first[k] : self.first[k + 1]]
+                length = self.start[t + 1] - self.start[t]
+                p = common.ranges(self.start[t], length)
+                score = np.bincount(self.doc[p], np.repeat(w, length) * self.weight[p], n)
+                whose[score > best], best = j, np.maximum(best, score)
+            order = np.argsort(ids, kind="stable")[np.lexsort((-best, whose))]
+            self._lay(order, ids, labels, v, lens, n, dims, BLOCK)
+
+    def _lay(self, order: np.ndarray, ids: np.ndarray, labels: np.ndarray, v: Vectors, lens: np.ndarray, n: int, dims: int, block: int) -> None:
         self.ids, self.labels = ids[order], labels[order].astype(float)
-        n, dims = len(order), len(self.idf)
-        lens = np.array([len(vectors[k][0]) for k in order], np.int64)
-        doc = np.repeat(np.arange(n, dtype=np.int32), lens)
+        at = common.ranges(v.start[:-1][order], lens[order])
         #: The vectors themselves, end to end.
-        self.first = np.r_[0, np.cumsum(lens)]
-        self.term = np.concatenate([np.zeros(0, np.int32), *(vectors[k][0] for k in order)]).astype(np.int32)
-        self.value = np.concatenate([np.zeros(0), *(vectors[k][1] for k in order)])
-        #: Of each term its examples.
+        self.first = np.r_[0, np.cumsum(lens[order])]
+        self.term, self.value = v.terms[at].astype(np.int32), v.weights[at]
+        doc = np.repeat(np.arange(n, dtype=np.int32), lens[order])
+        #: Of each term its examples, by position and so by block.
         by = np.argsort(self.term, kind="stable")
-        self.doc, self.weight = doc[by], self.value[by].astype(np.float32)
-        self.start = np.searchsorted(self.term[by], np.arange(dims + 1)).astype(np.int64)
+        self.doc, self.weight, sorted_terms = doc[by], self.value[by].astype(np.float32), self.term[by]
+        self.start = np.searchsorted(sorted_terms, np.arange(dims + 1)).astype(np.int64)
+        #: The most common terms as dense rows; the place of each among them, or -1.
+        held = np.diff(self.start)
+        common_terms = np.sort(np.argsort(-held, kind="stable")[: min(HEADS, int((held > 1).sum()))])
+        self.head = np.full(dims, -1, np.int64)
+        self.head[common_terms] = np.arange(len(common_terms))
+        self.dense = np.zeros((len(common_terms), n), np.float32)
+        of_head = self.head[sorted_terms]
+        self.dense[of_head[of_head >= 0], self.doc[of_head >= 0]] = self.weight[of_head >= 0]
+        #: Of each term its blocks: where their examples begin, and their largest weight.
+        self.edges = np.arange(0, max(n, 1), block)
+        self.blocks = len(self.edges)
+        self.block_of = (np.arange(n) // block).astype(np.int64)
+        new = np.r_[True, (sorted_terms[1:] != sorted_terms[:-1]) | (self.doc[1:] // block != self.doc[:-1] // block)] if len(by) else np.zeros(0, bool)
+        cell = np.flatnonzero(new)
+        self.cell = np.r_[cell, len(by)].astype(np.int64)
+        self.cell_block = self.doc[cell] // block
+        self.cell_most = np.maximum.reduceat(self.weight, cell) if len(cell) else np.zeros(0, np.float32)
+        self.cells = np.searchsorted(sorted_terms[cell], np.arange(dims + 1)).astype(np.int64)
+        self.tail_cost = np.where(self.head >= 0, 0, held)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples, by cosine and then by id."""
-        return next(self.search([(terms, weights)], k, [without]))
+        """Ids and cosines of the k nearest examples, by cosine and then by id; ``without``: a position."""
+        near, cos = next(self.search(stacked([(terms, weights)]), k, np.array([without])))
+        return self.ids[near], cos
 
-    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` of each vector, in slices of at most QUERIES vectors and POSTINGS list entries
+    def search(self, v: Vectors, k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and cosines of the nearest of each vector, in slices of at most QUERIES vectors and POSTINGS list entries
         (or one vector)."""
-        cost = [int((self.start[t + 1] - self.start[t]).sum()) if len(self.ids) else 0 for t, _ in vectors]
+        cost = np.zeros(len(v), np.int64)
+        if len(self.ids) and len(v.terms):
+            cost = np.diff(np.r_[0, np.cumsum(self.tail_cost[v.terms])][v.start])
         s = 0
-        while s < len(vectors):
-            e, held = s + 1, cost[s]
-            while e < len(vectors) and e - s < QUERIES and held + cost[e] <= POSTINGS:
-                held += cost[e]
+        while s < len(v):
+            e, held = s + 1, int(cost[s])
+            while e < len(v) and e - s < QUERIES and held + cost[e] <= POSTINGS:
+                held += int(cost[e])
                 e += 1
-            yield from self._search(vectors[s:e], k, without[s:e] if without else [-1] * (e - s))
+            part = slice(v.start[s], v.start[e])
+            yield from self._search(Vectors(v.start[s : e + 1] - v.start[s], v.terms[part], v.weights[part]), k, np.full(e - s, -1) if without is None else without[s:e])
             s = e
 
-    def _search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n = len(self.ids)
+    def _search(self, v: Vectors, k: int, without: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, m = len(self.ids), len(v)
         if not n:
-            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in vectors)
+            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in range(m))
             return
-        who = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-        terms = np.concatenate([t for t, _ in vectors])
-        weights = np.concatenate([w for _, w in vectors])
-        length = self.start[terms + 1] - self.start[terms]
-        p = common.ranges(self.start[terms], length)
-        rough = np.bincount(np.repeat(who * n, length) + self.doc[p], np.repeat(weights, length) * self.weight[p], len(vectors) * n)
-        rough = rough.reshape(-1, n).astype(float)  # counts without any list entry are integers
-        for i, own in enumerate(without):
-            if own >= 0:
-                rough[i, own] = 0
+        who = np.repeat(np.arange(m), np.diff(v.start))
+        place = self.head[v.terms]
+        # the common terms' share of every cosine
+        q = np.zeros((m, len(self.dense)), np.float32)
+        q[who[place >= 0], place[place >= 0]] = v.weights[place >= 0]
+        rough = q @ self.dense
+        for i in np.flatnonzero(without >= 0).tolist():
+            rough[i, without[i]] = -2
+        # no weight is negative, so the k-th best cosine is no less than the k-th best share
+        low = self._kth(rough, k)
+        # a block is searched if its best share and the largest weights of the other terms reach that
+        who, terms, weights = who[place < 0], v.terms[place < 0], v.weights[place < 0].astype(np.float32)
+        length = self.cells[terms + 1] - self.cells[terms]
+        cell = common.ranges(self.cells[terms], length)
+        block = np.repeat(who * self.blocks, length) + self.cell_block[cell]
+        weight = np.repeat(weights, length)
+        bound = np.bincount(block, weight * self.cell_most[cell], m * self.blocks).reshape(m, -1) + np.maximum.reduceat(rough, self.edges, axis=1)
+        use = (bound >= low[:, None]).ravel()[block]
+        cell, who, weight = cell[use], np.repeat(who * n, length)[use], weight[use]
+        size = self.cell[cell + 1] - self.cell[cell]
+        p = common.ranges(self.cell[cell], size)
+        rough = rough + np.bincount(np.repeat(who, size) + self.doc[p], np.repeat(weight, size) * self.weight[p], m * n).reshape(m, n)
         # whatever can be among the k nearest is summed anew
-        least = np.partition(rough, n - k, axis=1)[:, n - k] - ROUGH if n > k else np.zeros(len(vectors))
+        low = self._kth(rough, k)
         full = np.zeros(len(self.idf))
-        for i, (t, w) in enumerate(vectors):
-            docs = np.flatnonzero((rough[i] >= least[i]) & (rough[i] > 0))
+        for i in range(m):
+            docs = np.flatnonzero((rough[i] >= low[i]) & (rough[i] > 0))
             if not len(docs):
                 yield docs, np.zeros(0)
                 continue
-            full[t] = w
+            t = v.terms[v.start[i] : v.start[i + 1]]
+            full[t] = v.weights[v.start[i] : v.start[i + 1]]
             lens = self.first[docs + 1] - self.first[docs]
             p = common.ranges(self.first[docs], lens)
             cos = np.round(np.add.reduceat(full[self.term[p]] * self.value[p], np.cumsum(lens) - lens), 12)
             full[t] = 0
-            top = np.lexsort((docs, -cos))[:k]
-            yield docs[top], cos[top]
+            near = np.lexsort((self.ids[docs], -cos))[:k]
+            yield docs[near], cos[near]
+
+    def _kth(self, rough: np.ndarray, k: int) -> np.ndarray:
+        n = rough.shape[1]
+        return np.partition(rough, n - k, axis=1)[:, n - k] - ROUGH if n > k else np.full(len(rough), -1.0)
 
     # ---- votes
 
@@ -196,15 +295,15 @@ class Index:
         w = cos**4
         return float((w * self.labels[near]).sum() / w.sum()) if len(near) and w.sum() > 0 else 0.0
 
-    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray) -> None:
+    def calibrate(self) -> None:
         """A monotone map from votes to shares of toxic labels (pool adjacent violators)."""
-        order = np.argsort(ids, kind="stable").tolist()
-        bare = np.array([not len(vectors[k][0]) for k in order], bool)
-        votes = np.array([self.vote(*found) for found in self.search([vectors[k] for k in order], K, list(range(len(order))))])
+        lens = np.diff(self.first)
+        bare = lens == 0
+        votes = np.array([self.vote(*found) for found in self.search(Vectors(self.first, self.term.astype(np.int64), self.value), K, np.arange(len(lens)))])
         y = self.labels
         self.empty_score = float(y[bare].mean()) if bare.any() else (float(y.mean()) if len(y) else 0.0)
         x, t = votes[~bare], y[~bare]
-        by = np.argsort(x, kind="stable")
+        by = np.lexsort((self.ids[~bare], x))
         x, t = x[by], t[by]
         pools: list[list[float]] = []
         for a, b in zip(x.tolist(), t.tolist(), strict=True):
@@ -217,9 +316,9 @@ class Index:
         self.knots = np.array([p[0] for p in pools] or [0.0])
         self.shares = np.array([(p[1] * p[2] + p[0]) / (p[2] + 1) for p in pools] or [self.empty_score])
 
-    def score(self, bags: Bags) -> Iterator[tuple[float, list[int], list[float]]]:
-        """Score, neighbours' ids and cosines of each document."""
-        for near, cos in self.search([self.vector(*bags.of(k)) for k in range(len(bags.unseen))], K):
+    def score(self, texts: pa.StringArray) -> Iterator[tuple[float, list[int], list[float]]]:
+        """Score, neighbours' ids and cosines of each text."""
+        for near, cos in self.search(self.vectors(self.words.of(texts)), K):
             if not len(near):
                 yield self.empty_score, [], []
                 continue
@@ -227,75 +326,31 @@ class Index:
             yield out, self.ids[near].tolist(), cos.tolist()
 
 
-class Finder(dict):
-    """Word as it stands in the text -> number of the term whose ``adds`` it brings; NONE: a word
-    in no example, without a marked beginning; BLANK: punctuation only and no word at all. Words in
-    no example with a marked beginning have the number of the longest one."""
-
-    NONE, BLANK = -1, -2
-
-    def __init__(self, words: Words):
-        self.words = words
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        core = word.strip(STRIP)
-        n = self.words.find(core) if core else self.BLANK
-        if n == self.NONE and (known := self.words.beginnings(core)):
-            n = known[-1]
-        self[word] = n
-        return n
-
-    def of(self, bodies: list[bytes]) -> Bags:
-        words, found, unseen = self.words, [], np.zeros(len(bodies))
-        marks = set(words.marked.values())
-        for k, body in enumerate(bodies):
-            split = body.lower().split()
-            got = list(map(self.__getitem__, split))
-            found.append(np.array(got, np.int64))
-            strange = Counter(w.strip(STRIP) for w, n in zip(split, got, strict=True) if n == self.NONE or n in marks)
-            if strange:
-                unseen[k] = ((1 + np.log(np.fromiter(strange.values(), float))) ** 2).sum()
-        doc = np.repeat(np.arange(len(bodies)), [len(f) for f in found])
-        term = np.concatenate([np.zeros(0, np.int64), *found])
-        doc, term = doc[term >= 0], term[term >= 0]
-        length = words.start[term + 1] - words.start[term]
-        dims = len(words.start)
-        pair, count = np.unique(np.repeat(doc * dims, length) + words.adds[common.ranges(words.start[term], length)], return_counts=True)
-        return Bags(np.searchsorted(pair, np.arange(len(bodies) + 1) * dims), pair % dims, count.astype(float), unseen)
-
-
-def slices(bodies: list[bytes]) -> Iterator[list[bytes]]:
-    """Of at most QUERIES texts and SLICE_BYTES bytes, or one text."""
-    part: list[bytes] = []
-    size = 0
-    for b in bodies:
-        if part and (len(part) == QUERIES or size + len(b) > SLICE_BYTES):
-            yield part
-            part, size = [], 0
-        part.append(b)
-        size += len(b)
-    if part:
-        yield part
-
-
 # ---------------------------------------------------------------- learning
 
 
-def examples(docs: DataFrame, labels: DataFrame, label: str, seed: int, most: int = MAX_EXAMPLES) -> DataFrame:
-    """At most ``most`` labelled documents outside the held-out fold (``crc32(doc_id) % 4 = seed``),
-    the smallest by a hash of the id: ``id``, ``body``, ``y``. Only the sample's ids are broadcast."""
+def examples(docs: DataFrame, labels: DataFrame, label: str, seed: int, most: int = MAX_EXAMPLES, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """At most ``most`` labelled documents outside the held-out fold (``crc32(doc_id) % 4 = seed``) with
+    ``most_bytes`` of text (one document at least), the first by a hash of the id: ``id``, ``body``, ``y``
+    and their order ``at``. Written out; only the sample's ids are broadcast."""
     chosen = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+        labels.where(F.col(label).cast("int").isin(0, 1) & F.col("doc_id").isNotNull())
         .where(common.fold("doc_id", 4) != seed)
         .groupBy(F.col("doc_id").cast("long").alias("id"))
         .agg(F.max(F.col(label).cast("int")).alias("y"))
-        .orderBy(F.xxhash64("id"), "id")
+        .withColumn("at", F.xxhash64("id"))
+        .orderBy("at", "id")
         .limit(most)
     )
-    bodies = common.texts(docs)
-    return bodies.join(F.broadcast(chosen), "id")
+    # a label's document may be there many times: one text of each id is learnt from
+    one = common.texts(docs).join(F.broadcast(chosen), "id").groupBy("id", "y", "at").agg(F.min("body").alias("body"))
+    sample = common.written(one, "examples")
+    sizes = sample.select("at", "id", F.length("body").alias("n")).orderBy("at", "id").collect()
+    held = np.cumsum([r.n for r in sizes])
+    if len(sizes) and held[-1] > most_bytes:
+        last = sizes[max(1, int(np.searchsorted(held, most_bytes, side="right"))) - 1]
+        sample = sample.where((F.col("at") < last["at"]) | ((F.col("at") == last["at"]) & (F.col("id") <= last["id"])))
+    return sample
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +384,7 @@ def choose_terms(counts: DataFrame, n1: int, n0: int) -> tuple[list[bytes], np.n
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 2) -> Index:
     """The index over a bounded sample of labelled documents."""
-    sample = examples(docs, labels, label, seed)
-    sample = common.written(sample, "examples").repartition(12)
+    sample = examples(docs, labels, label, seed).repartition(12)
     n = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
@@ -342,23 +396,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 2)
     words = index.words
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(words)
-        for batch in batches:
-            b = finder.of(common.bodies(batch))
+        for part in common.chunks(batches, CHUNK_BYTES):
+            b = words.of(common.strings(part))
             start = pa.array(b.start, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [common.ids(batch), batch.column("y"), pa.ListArray.from_arrays(start, pa.array(b.terms, pa.int64())), pa.ListArray.from_arrays(start, pa.array(b.counts))],
+                [common.ids(part), common.ids(part, "y"), pa.ListArray.from_arrays(start, pa.array(b.terms, pa.int32())), pa.ListArray.from_arrays(start, pa.array(b.counts, pa.int32()))],
                 names=["id", "y", "terms", "counts"],
             )
 
-    rows = sample.mapInArrow(bags, "id long, y int, terms array<long>, counts array<double>").toArrow()
-    vecs = [
-        index.vector(t.values.to_numpy(), c.values.to_numpy(), 0.0)
-        for t, c in zip(rows.column("terms"), rows.column("counts"), strict=True)
-    ]
-    ids = rows.column("id").to_numpy()
-    index.build(ids, rows.column("y").to_numpy(), vecs)
-    index.calibrate(vecs, ids)
+    rows = sample.mapInArrow(bags, "id long, y int, terms array<int>, counts array<int>").toArrow().combine_chunks()
+    lists, ids = common.ids(rows, "terms"), rows.column("id").to_numpy()
+    start = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].astype(np.int64)
+    found = Bags(start, lists.flatten().to_numpy().astype(np.int64), common.ids(rows, "counts").flatten().to_numpy().astype(float), np.zeros(len(ids)))
+    index.build(ids, rows.column("y").to_numpy(), index.vectors(found))
+    index.calibrate()
     return index
 
 
@@ -366,11 +417,10 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     """``id``, ``score``, ``neighbours`` and their ``cosines`` for every row of ``docs``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(index.words)
-        for batch in batches:
-            got = [g for part in slices(common.bodies(batch)) for g in index.score(finder.of(part))]
+        for part in common.chunks(batches, CHUNK_BYTES):
+            got = list(index.score(common.strings(part)))
             yield pa.RecordBatch.from_arrays(
-                [common.ids(batch), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
+                [common.ids(part), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                 names=["id", "score", "neighbours", "cosines"],
             )
 
@@ -396,12 +446,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_toxic(docs: DataFrame, index: Index, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``."""
 
-    def judge():
-        finder = Finder(index.words)
-
-        def clean(bodies: list[bytes]) -> np.ndarray:
-            return np.array([g[0] < threshold for part in slices(bodies) for g in index.score(finder.of(part))], bool)
-
-        return clean
+    def clean(texts: pa.StringArray) -> np.ndarray:
+        return np.array([g[0] < threshold for g in index.score(texts)], bool)
 
-    return common.kept(docs, judge, text_col)
+    return common.kept(docs, lambda: clean, text_col)
