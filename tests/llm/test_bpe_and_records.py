@@ -55,6 +55,21 @@ def test_word_cache_equals_the_library(library, tokenizers_dir):
     assert [g.tolist() for g in cache.encode([t.encode() for t in every])] == [w.ids for w in library["word_bpe_49k.json"].encode_batch(every, add_special_tokens=False)]
 
 
+def test_words_and_marks_equal_the_library(library, tokenizers_dir):
+    """Parts of letters and marks in all orders, with what joins or splits them."""
+    cache, lib = records.WordCache(f"{tokenizers_dir}/word_bpe_49k.json"), library["word_bpe_49k.json"]
+    r = random.Random(5)
+    marks = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    letters = [*"aZzQ", "the", "É", "ß", "ÿ", "Ÿ", "ñ", "İ", "Σ", "ς", "ﬁ", "ª", "é", "\u0301", "\u0338", "×", "9", "½", "中", "'s", "'LL", "<|endoftext|>", "\x00", "\x1f", "\xa0"]
+    every = ["".join(r.choice(marks if r.random() < 0.45 else letters) for _ in range(r.randint(1, 7))) for _ in range(30000)]
+    every += [a + b for a in letters for b in marks] + [b + a for a in letters for b in marks] + [chr(c) for c in range(0x250)] + ["x" + chr(c) + "y." for c in range(0x250)]
+    for k in (0, 1):  # the second time from the cache
+        got = cache.encode([t.encode() for t in every])
+        for t, g, w in zip(every, got, lib.encode_batch(every, add_special_tokens=False), strict=True):
+            assert g.tolist() == w.ids, (k, t)
+    assert cache.encode([b"\xff\xfea b"])[0].tolist() == lib.encode("\ufffd\ufffda b", add_special_tokens=False).ids
+
+
 def test_records_round_trip(spark, odd, nothing, library, tokenizers_dir):
     path = f"{tokenizers_dir}/word_bpe_49k.json"
     manifest = records.write(odd, path, common.shared_dir(spark, "records"), end=2)

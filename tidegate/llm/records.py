@@ -7,13 +7,15 @@ entry per record: document id, byte offset of the record, number of tokens and w
 is there at all. So records can be read in any order. The checksum is CRC-32, rotated and shifted
 by a constant so that a checksum over data that holds checksums stays useful.
 
-Writing: documents are dealt in ranges of ascending id, each partition sorted by id is one file.
+Writing: documents are encoded where they are read, and the ids, which are shorter than the texts,
+are written once and dealt in ranges of ascending id; each partition, sorted by id, is one file.
 A file is written under a name of its own and renamed when complete, so a task that runs again or
 twice leaves the same file. A manifest (one row per file) turns per-file totals into offsets.
 
 Defined cases: null and empty texts are records of the end id alone; documents without an id come
-first and keep a null id; rows that repeat (same id) are all written, in order of their texts; an
-empty table writes no file and reads back as no rows.
+first and keep a null id; rows that repeat (same id) are all written, in an order that their token ids
+fix; texts of any length are one record; an empty table writes no file and reads back as no rows.
+Columns beside the id and the text aren't read.
 """
 
 from __future__ import annotations
@@ -25,19 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegate.llm import common
+from tidegate.llm import bpe, common
 
 MAGIC = b"TIDEREC1"
 ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("tokens", "<u4"), ("has_id", "<u4")])
 MASK = 0xA282EAD8
 CHUNK_BYTES = 4 << 20
-#: Cached encodings of words and of runs of marks, by worker.
-CACHE_WORDS = 1_000_000
+#: Cached encodings of words and of runs of marks, by worker; some 50 bytes each.
+CACHE_WORDS = 800_000
 
 
 def masked(data: bytes) -> int:
@@ -73,12 +76,22 @@ def where(uri: str) -> tuple[pafs.FileSystem, str]:
 # ---------------------------------------------------------------- encoding
 
 
-class WordCache(dict):
-    """Encodings by the library of the parts of a text that lie between ASCII blanks.
+# Letters that the library's normaliser only lowers, whatever stands around them; ASCII
+# marks that the vocabulary's pattern never joins to a letter and that aren't in all special tokens.
+LETTERS, LOWER = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[a-zß-öø-ÿ]"
+MARKS = r"""[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{}~]"""
+
+
+class WordCache:
+    """Encodings by the library of what lies between ASCII blanks.
 
     The vocabulary's pre-tokenizer drops blanks and its pieces never span one, and neither its
     normaliser nor its special tokens reach across one, so a text's ids are those of its parts in
-    order. Parts that are new in a chunk are encoded in one batch.
+    order. A part that is a word of LETTERS with marks around it is its marks, its letters in lower case
+    and its marks; other parts lose the marks that follow a last such letter. What is left is looked
+    up in one Arrow array, and what is new in a chunk is encoded: plain words by the model itself
+    (which, but for the characters that stand for bytes, is all that the library does to them), the
+    rest by the whole library.
     """
 
     def __init__(self, path: str):
@@ -87,46 +100,75 @@ class WordCache(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.clear_all()
-
-    def clear_all(self) -> None:
-        self.clear()
-        self.parts: list[bytes] = []
-        self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def __missing__(self, part: bytes) -> int:
-        n = self[part] = len(self.parts)
-        self.parts.append(part)
-        return n
-
-    def learn(self) -> None:
-        new = self.parts[len(self.starts) :]
-        if not new:
-            return
-        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        ids = [g.ids for g in got]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.chars = dict(enumerate(bpe.byte_chars()))
+        self.reset()
+
+    def reset(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def numbers(self, pieces: pa.StringArray) -> np.ndarray:
+        """Of each piece its place in the cache; new ones are learnt."""
+        coded = pieces.dictionary_encode()
+        at = pc.index_in(coded.dictionary, self.known)
+        if at.null_count:
+            missing = at.is_null()
+            self.learn(coded.dictionary.filter(missing))
+            found = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+            found[missing.to_numpy(zero_copy_only=False)] = np.arange(len(self.known) - at.null_count, len(self.known))
+        else:
+            found = at.to_numpy().astype(np.int64)
+        return found[coded.indices.to_numpy()]
+
+    def learn(self, new: pa.StringArray) -> None:
+        plain = pc.match_substring_regex(new, f"^{LOWER}+$")
+        model = self.tokenizer.model.tokenize
+        as_bytes = lambda w: w if w.isascii() else w.encode().decode("latin-1").translate(self.chars)
+        ids = [[t.id for t in model(as_bytes(w))] if p else None for w, p in zip(new.to_pylist(), plain.to_pylist(), strict=True)]
+        other = [k for k, found in enumerate(ids) if found is None]
+        for k, got in zip(other, self.tokenizer.encode_batch_fast(new.take(pa.array(other, pa.int64())).to_pylist(), add_special_tokens=False), strict=True):
+            ids[k] = got.ids
+        lens = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((x for i in ids for x in i), np.uint32, int(lens.sum()))
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lens) - lens]
+        self.known = pa.concat_arrays([self.known, new])
+        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lens, dtype=np.int64) - lens]
         self.lens, self.flat = np.r_[self.lens, lens], np.r_[self.flat, flat]
 
+    def words(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts end to end, and where each part's begin and how many it has."""
+        front, core, tail = pc.extract_regex(parts, f"^(?P<a>{MARKS}*)(?P<b>{LETTERS}+)(?P<c>{MARKS}*)$").flatten()
+        odd = core.is_null()
+        rest = parts.filter(odd)
+        behind = pc.extract_regex(rest, f"(?s)^(?P<b>.*{LETTERS})(?P<c>{MARKS}+)$").flatten()
+        core = pc.replace_with_mask(pc.utf8_lower(core), odd, pc.coalesce(behind[0], rest))
+        tail = pc.fill_null(pc.replace_with_mask(tail, odd, behind[1]), "")
+        front = pc.fill_null(front, "")
+        got = self.numbers(pa.concat_arrays([front, core, tail])).reshape(3, -1).T
+        lens = self.lens[got].astype(np.int64)
+        flat = self.flat[common.ranges(self.starts[got].ravel(), lens.ravel())]
+        each = lens.sum(1)
+        return flat, np.cumsum(each) - each, each
+
+    def encode_arrow(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin and the last's end."""
+        if len(self.known) > CACHE_WORDS:
+            self.reset()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        flat, starts, lens = self.words(coded.dictionary)
+        which = coded.indices.to_numpy()
+        n = lens[which]
+        ids = flat[common.ranges(starts[which], n)]
+        cut = np.r_[0, np.cumsum(n)][bounds - bounds[0]]
+        if end is not None:
+            ids = np.insert(ids, cut[1:], end)
+            cut = cut + np.arange(len(cut))
+        return ids, cut
+
     def encode(self, bodies: list[bytes], end: int | None = None) -> list[np.ndarray]:
-        if len(self.parts) > CACHE_WORDS:
-            self.clear_all()
-        each = []
-        for b in bodies:
-            parts = b.split()
-            each.append(np.fromiter(map(self.__getitem__, parts), np.int64, len(parts)))
-        self.learn()
-        if not each:
-            return []
-        words = np.concatenate(each)
-        lens = self.lens[words] if len(words) else np.zeros(0, np.int64)
-        flat = self.flat[common.ranges(self.starts[words], lens)] if len(words) else np.zeros(0, np.uint32)
-        total = np.r_[0, np.cumsum(lens)]
-        cut = total[np.r_[0, np.cumsum([len(e) for e in each])]]
-        tail = np.array([] if end is None else [end], np.uint32)
-        return [np.concatenate([flat[s:e], tail]) for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        ids, cut = self.encode_arrow(pa.array([b.decode("utf-8", "replace") for b in bodies], pa.string()), end)
+        return [ids[s:e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 _caches: dict[str, WordCache] = {}
@@ -141,35 +183,46 @@ def cache_of(path: str) -> WordCache:
 # ---------------------------------------------------------------- files
 
 
+def encoded(docs: DataFrame, path: str, end: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``tokens`` (their number), ``width`` (bytes of an id) and ``payload`` (the ids) of each document."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = cache_of(path)
+        width = 2 if cache.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 and (end or 0) < 65536 else 4
+        for chunk in common.chunks(batches, CHUNK_BYTES):
+            ids, cut = cache.encode_arrow(common.strings(chunk), end)
+            payload = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunk), [None, pa.py_buffer(cut * width), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
+            yield pa.RecordBatch.from_arrays([common.ids(chunk), pa.array(np.diff(cut)), pa.array(np.full(len(chunk), width, np.int32)), payload.cast(pa.binary())], names=["id", "tokens", "width", "payload"])
+
+    return common.texts(docs, id_col, text_col).mapInArrow(work, "id long, tokens long, width int, payload binary")
+
+
 def write(docs: DataFrame, path: str, folder: str, end: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files; returns the written manifest: ``file``, ``part``, ``docs``, ``tokens`` and
     ``before`` (tokens in the files before it)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = cache_of(path)
-        width = 2 if cache.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 and (end or 0) < 65536 else 4
         part = TaskContext.get().partitionId()
         fs, root = where(folder)
         name, own = f"{root}/part-{part:06d}", f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
-        out, offset, tokens = None, 0, 0
+        out, offset, tokens, width = None, 0, 0, 0
         entries = []
-        for chunk in common.chunks(batches, CHUNK_BYTES):
+        for chunk in common.chunks(batches, CHUNK_BYTES, "payload"):
             if out is None:
                 fs.create_dir(root, recursive=True)
-                out = fs.open_output_stream(f"{own}.rec")
-            got = cache.encode(common.bodies(chunk), end)
-            frames = [frame(x.astype(f"<u{width}").tobytes()) for x in got]
+                out, width = fs.open_output_stream(f"{own}.rec"), chunk.column("width")[0].as_py()
+            frames = [frame(x) for x in common.bodies(chunk, "payload")]
             out.write(b"".join(frames))
-            sizes = np.array([len(f) for f in frames], np.int64)
-            e = np.zeros(len(got), ENTRY)
+            sizes = np.fromiter(map(len, frames), np.int64, len(frames))
+            e = np.zeros(len(frames), ENTRY)
             ids = common.ids(chunk)
             e["has_id"] = ids.is_valid().to_numpy(zero_copy_only=False)
             e["id"] = ids.fill_null(0).to_numpy()
             e["offset"] = offset + np.cumsum(sizes) - sizes
-            e["tokens"] = [len(x) for x in got]
+            e["tokens"] = chunk.column("tokens").to_numpy()
             entries.append(e)
             offset += int(sizes.sum())
-            tokens += int(e["tokens"].sum())
+            tokens += int(e["tokens"].sum(dtype=np.int64))
         if out is None:
             return
         out.close()
@@ -183,8 +236,14 @@ def write(docs: DataFrame, path: str, folder: str, end: int | None = None, id_co
             names=["file", "part", "docs", "tokens"],
         )
 
-    dealt = common.texts(docs, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "body")
+    # encoded once, so that neither the bounds of the ranges nor a lost file asks for it again; ranges
+    # are of ids and a hash, so that rows without an id, or with one id, are dealt out too
+    spark = docs.sparkSession
+    at = common.shared_dir(spark, "encoded")
+    once = common.written_at(encoded(docs, path, end, id_col, text_col), at).withColumn("tie", F.xxhash64("payload"))
+    dealt = once.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "payload").drop("tie")
     manifest = common.written(dealt.mapInArrow(work, "file string, part int, docs long, tokens long"), "manifest")
+    common.removed(spark, at)
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return manifest.withColumn("before", before)
 
