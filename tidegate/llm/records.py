@@ -8,12 +8,12 @@ is there at all. So records can be read in any order. The checksum is CRC-32, ro
 by a constant so that a checksum over data that holds checksums stays useful.
 
 Writing: documents are encoded where they are read, and the ids, which are shorter than the texts,
-are written once and dealt in ranges of ascending id; each partition, sorted by id, is one file.
+are dealt in ranges of ascending id; each partition, sorted by id, is one file.
 A file is written under a name of its own and renamed when complete, so a task that runs again or
 twice leaves the same file. A manifest (one row per file) turns per-file totals into offsets.
 
 Defined cases: null and empty texts are records of the end id alone; documents without an id come
-first and keep a null id; rows that repeat (same id) are all written, in an order that their token ids
+first and keep a null id; rows that repeat (same id) are all written, in an order that their texts
 fix; texts of any length are one record; an empty table writes no file and reads back as no rows.
 Columns beside the id and the text aren't read.
 """
@@ -23,6 +23,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ MAGIC = b"TIDEREC1"
 ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("tokens", "<u4"), ("has_id", "<u4")])
 MASK = 0xA282EAD8
 CHUNK_BYTES = 4 << 20
+#: Rows sampled for each file to find where its ids end.
+SAMPLED = 50
 #: Cached encodings of words and of runs of marks, by worker; some 50 bytes each.
 CACHE_WORDS = 800_000
 
@@ -183,8 +186,23 @@ def cache_of(path: str) -> WordCache:
 # ---------------------------------------------------------------- files
 
 
-def encoded(docs: DataFrame, path: str, end: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``tokens`` (their number), ``width`` (bytes of an id) and ``payload`` (the ids) of each document."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Texts with what orders them within one id: a hash of the text, and any number for equal ones."""
+    return common.texts(docs, id_col, text_col).withColumn("tie", F.xxhash64("body")).withColumn("any", F.monotonically_increasing_id())
+
+
+def bounds(keyed: DataFrame, n: int) -> list[tuple]:
+    """Upper ends of all but the last of ``n`` ranges of ``id``, ``tie`` and ``any`` with about as many rows
+    each, from a sample of some SAMPLED rows a range."""
+    rows = keyed.count()
+    sample = keyed.select("id", "tie", "any").sample(min(1.0, SAMPLED * n / max(rows, 1)), 3).collect() if n > 1 else []
+    keys = sorted((r.id is not None, r.id or 0, r.tie, r["any"]) for r in sample)
+    return [keys[k * len(keys) // n] for k in range(1, n)] if keys else []
+
+
+def encoded(keyed: DataFrame, path: str, end: int | None, ends: list[tuple]) -> DataFrame:
+    """``part`` (the range that a document is in), ``id``, ``tie``, ``tokens`` (their number), ``width``
+    (bytes of an id) and ``payload`` (the ids) of each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = cache_of(path)
@@ -192,9 +210,14 @@ def encoded(docs: DataFrame, path: str, end: int | None = None, id_col: str = "d
         for chunk in common.chunks(batches, CHUNK_BYTES):
             ids, cut = cache.encode_arrow(common.strings(chunk), end)
             payload = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunk), [None, pa.py_buffer(cut * width), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
-            yield pa.RecordBatch.from_arrays([common.ids(chunk), pa.array(np.diff(cut)), pa.array(np.full(len(chunk), width, np.int32)), payload.cast(pa.binary())], names=["id", "tokens", "width", "payload"])
+            keys = zip(chunk.column("id").to_pylist(), chunk.column("tie").to_pylist(), chunk.column("any").to_pylist(), strict=True)
+            part = pa.array([bisect_right(ends, (i is not None, i or 0, t, a)) for i, t, a in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [part, common.ids(chunk), common.ids(chunk, "tie"), pa.array(np.diff(cut)), pa.array(np.full(len(chunk), width, np.int32)), payload.cast(pa.binary())],
+                names=["part", "id", "tie", "tokens", "width", "payload"],
+            )
 
-    return common.texts(docs, id_col, text_col).mapInArrow(work, "id long, tokens long, width int, payload binary")
+    return keyed.mapInArrow(work, "part int, id long, tie long, tokens long, width int, payload binary")
 
 
 def write(docs: DataFrame, path: str, folder: str, end: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,14 +259,12 @@ def write(docs: DataFrame, path: str, folder: str, end: int | None = None, id_co
             names=["file", "part", "docs", "tokens"],
         )
 
-    # encoded once, so that neither the bounds of the ranges nor a lost file asks for it again; ranges
-    # are of ids and a hash, so that rows without an id, or with one id, are dealt out too
-    spark = docs.sparkSession
-    at = common.shared_dir(spark, "encoded")
-    once = common.written_at(encoded(docs, path, end, id_col, text_col), at).withColumn("tie", F.xxhash64("payload"))
-    dealt = once.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "payload").drop("tie")
+    # the ids are shuffled, not the texts; ranges are of ids and then of a hash and any number, so that
+    # rows without an id, or with one id, or all alike, are dealt out too
+    keyed = _keyed(docs, id_col, text_col)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = encoded(keyed, path, end, bounds(keyed, n)).repartitionById(n, F.col("part")).sortWithinPartitions("id", "tie", "payload")
     manifest = common.written(dealt.mapInArrow(work, "file string, part int, docs long, tokens long"), "manifest")
-    common.removed(spark, at)
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return manifest.withColumn("before", before)
 
