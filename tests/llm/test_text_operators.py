@@ -107,6 +107,68 @@ def test_field_on_held_out_rows(field):
         assert pii.added_spans(field, [clean], [[]]) == [[]]
 
 
+#: Written by hand, apart from the table that the field learns from: text with [kind|span] marks.
+BY_HAND = """
+Please write to [email|john.a at mail dot com] before Friday.
+Contact: [email|maria (at) posteo (dot) de], we answer soon.
+Reach me under [email|t.smith [at] web [dot] org].
+Fax and phone [phone|(030) 555-0199] in the office hours.
+Ring [phone|212-555-0147] and ask for Anna.
+My number is [phone|0049 30 123 4567].
+Card number [card|4111-1111-1111-1112] was refused.
+They paid with [card|5500 0000 0000 0005] yesterday.
+The host [ip|192[.]168[.]0[.]12] did not answer.
+Traffic came from [ip|10 . 0 . 0 . 7] all night.
+In 1998 some 1,250 people met at the lake.
+Chapter 12, pages 34-56, second edition 2004.
+We meet at noon at the dot of the line.
+The train at 10:45 costs 12.50, or 20 % less.
+Version 3.11.2 fixed 42 defects.
+Order 20240517 holds 3 items.
+He was born on 12.05.1987 in Wien.
+""".strip().split("\n")
+
+
+def test_field_on_rows_by_hand(field):
+    good = found = wanted = clean = 0
+    for row in BY_HAND:
+        text, spans = "", set()
+        for k, part in enumerate(re.split(r"\[(email|phone|card|ip)\|(.*?)\](?=[ ,.]|$)", row)):
+            if k % 3 == 1:
+                kind = part
+                continue
+            if k % 3 == 2:
+                spans.add((len(text), len(text) + len(part), kind))
+            text += part
+        base = pii.base_spans(text)
+        got = {(s, e, pii.KINDS[k]) for s, k, e in [*base, *pii.added_spans(field, [text], [base])[0]]}
+        good, found, wanted, clean = good + len(got & spans), found + len(got), wanted + len(spans), clean + (not spans and not got)
+    assert good / found >= 0.8 and good / wanted >= 0.8 and clean >= 6, (good, found, wanted, clean)
+
+
+def whole_decode(field, text):
+    """Added spans by one Viterbi over every token of the text."""
+    tokens, gaps, places = pii.tokens_of(text)
+    if not tokens:
+        return []
+    base = pii.base_spans(text)
+    labels = pii.crf.viterbi(field.scores(tokens, gaps)[None], np.ones((1, len(tokens)), bool), field.trans)[0]
+    return sorted((s, k, e) for s, k, e in pii.runs(labels, places) if pii.plausible(k, text[s:e]) and all(e <= b or s >= f for b, _, f in base))
+
+
+@pytest.mark.parametrize("around, scored", [(40, 20_000), (0, 7), (3, 20_000)])
+def test_pieces_equal_a_decode_of_the_whole_text(monkeypatch, field, around, scored):
+    monkeypatch.setattr(pii, "AROUND", around)
+    monkeypatch.setattr(pii, "SCORED", scored)
+    r = random.Random(10)
+    rows = [t for t, _ in pii.labelled_table(80, seed=5)]
+    texts = [" ".join(r.choice([*rows, " ".join(filler(r, r.randint(0, 40)))]) for _ in range(r.randint(1, 12))) for _ in range(150)]
+    texts += ["".join(r.choice(["1", "22", " ", ".", "-", "a", "Bc", "@", " at ", " dot ", "(at) ", "é", "\n", "[", "+", "²"]) for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    texts += ["x at " + "a" * 45 + " dot org now", "y" * 5000 + "@ " + "z" * 5000, "12 " * 700, "", "7", "@"]
+    for t in texts:
+        assert pii.added_spans(field, [t], [pii.base_spans(t)])[0] == whole_decode(field, t), t
+
+
 def test_pii_rows(spark, odd, nothing, field):
     rows = [(1, "é mail x.y@a.example.org or +1 (017) 555-7713 from 10.0.0.1 card 4111 1111 1111 1111"), (2, "call (212) 555-0123 now"), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

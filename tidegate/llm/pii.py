@@ -3,13 +3,20 @@
 The base finds e-mail and IP addresses, payment cards (Luhn) and phone numbers by the patterns of
 its contract. The field finds what they miss: numbers and addresses in other spellings, told by
 word shapes and neighbouring words. It is trained on the driver from a small labelled table
-(``labelled_table``) and decodes by Viterbi in numpy batches. Each of its four kinds holds a digit
-or an at sign or the spelled form ``at ... dot``, so it reads the words around these; text without
-any of them is all "other". An added span is one of the four kinds too and never overlaps a base
-span.
+(``labelled_table``) and decodes by Viterbi in numpy batches. An added span is one of the four kinds
+too, holds what its kind must hold (``plausible``: digits, an at sign or a spelled ``at ... dot``) and
+never overlaps a base span.
+
+The added spans are those of a decoding of the whole text. Where "other" beats every label of a token
+by more than the transitions to and from its neighbours can make up for, the best path has "other"
+there, whatever else the text holds; so the text falls apart at such tokens and only the pieces that
+hold what a span must hold are decoded. They are found by reading on from each digit, at sign or
+``at ... dot`` to such a token on either side, however far off it is.
 
 Defined cases: null and empty texts have no spans; counts and digest are of base spans, ``spans``
-has both; offsets are code points; rows that repeat are reported each; texts are read whole.
+has both; offsets are code points; rows that repeat are reported each; texts of any length are read
+whole; bytes that are no UTF-8 are replaced; an empty table gives no rows. Columns beside the id and
+the text aren't read (``redacted`` keeps them).
 """
 
 from __future__ import annotations
@@ -17,8 +24,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -94,8 +103,13 @@ def joined(spans: list[Span]) -> str:
 # ---------------------------------------------------------------- the field
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
-TRIGGER = re.compile(r"[0-9@]+|(?i:[\[( ]at[\]) ](?=[^\n]{1,60}?[\[( ]dot[\]) ]))")
+SPELLED = r"(?i:[\[( ]at[\]) ](?=([^\n]{1,60}?[\[( ]dot[\]) ])))"
+TRIGGER = re.compile(rf"[0-9@]+|{SPELLED}")
+SPELLED = re.compile(SPELLED)
+#: Code points that are read at first on either side of what a span must hold.
 AROUND = 40
+#: Tokens before and after one that its features look at, and tokens scored at once.
+BEFORE, AFTER, SCORED = 2, 3, 20_000
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 
@@ -109,15 +123,16 @@ def shape(token: str) -> str:
     return token
 
 
-def features(tokens: list[str], gaps: list[bool]) -> list[list[str]]:
-    """Of each token: shapes and words of it and its neighbours; ``gaps``: a blank stands before."""
+def features(tokens: list[str], gaps: list[bool], first: int = 0, last: int | None = None) -> list[list[str]]:
+    """Of each token (or of those from first to last - 1): shapes and words of it and its neighbours;
+    ``gaps``: a blank stands before."""
     n = len(tokens)
     shapes = [shape(t) for t in tokens]
     lower = [t.lower() for t in tokens]
     get = lambda xs, k: xs[k] if 0 <= k < n else "#"
     glue = lambda k: "_" if 0 <= k < n and gaps[k] else "-"
     out = []
-    for i in range(n):
+    for i in range(first, n if last is None else last):
         s = shapes
         f = [f"s={s[i]}", f"w={lower[i]}", f"s-1={get(s, i - 1)}{glue(i)}", f"s+1={glue(i + 1)}{get(s, i + 1)}"]
         f += [f"s-2={get(s, i - 2)}{glue(i - 1)}", f"s+2={glue(i + 2)}{get(s, i + 2)}", f"w-1={get(lower, i - 1)}", f"w+1={get(lower, i + 1)}", f"w-2={get(lower, i - 2)}", f"w+2={get(lower, i + 2)}", f"w+3={get(lower, i + 3)}"]
@@ -155,8 +170,8 @@ def labelled_table(rows: int = 600, seed: int = 7) -> list[tuple[str, list[tuple
         return r.choice([f"{p[0]} . {p[1]} . {p[2]} . {p[3]}", f"{p[0]}[.]{p[1]}[.]{p[2]}[.]{p[3]}", f"{p[0]}(.){p[1]}(.){p[2]}(.){p[3]}", ".".join(p)])
 
     def email() -> str:
-        u = word() + r.choice(["", ".", "."]) + r.choice(["", word()])
-        u = u.strip(".")
+        name = lambda: r.choice([word(), word(), word(), r.choice("abcdefgjmpst"), word() + digit(r.randint(1, 3)), word().capitalize()])
+        u = r.choice([name(), name(), f"{name()}.{name()}", f"{name()}.{name()}", f"{name()}_{name()}", f"{name()}-{name()}"])
         return r.choice([f"{u} at {host()} dot {top()}", f"{u} [at] {host()} [dot] {top()}", f"{u}(at){host()}(dot){top()}", f"{u} @ {host()} . {top()}", f"{u}@{host()}.{word()}.{top()}", f"{u} AT {host()} DOT {top()}"])
 
     def other() -> str:
@@ -188,22 +203,34 @@ class Field:
     """Weights of the trained field, and decoding."""
 
     def __init__(self, numbers: dict[str, int], emit: np.ndarray, trans: np.ndarray):
-        self.numbers, self.emit, self.trans = numbers, emit, trans
-
-    def scores(self, feats: list[list[str]]) -> np.ndarray:
-        """Emission scores of all tokens of all sequences, end to end."""
-        if not feats:
-            return np.zeros((0, len(LABELS)))
+        self.numbers, self.emit, self.trans = numbers, np.vstack([emit, np.zeros((1, len(LABELS)))]), trans
+        # the most by which a path can gain from transitions when one label is put in place of "other"
+        ends = np.vstack([trans, np.zeros(len(LABELS))])
+        begins = np.hstack([trans, np.zeros((len(LABELS), 1))])
+        self.gain = (ends - ends[:, :1]).max(0) + (begins - begins[:1]).max(1)
+
+    def scores(self, tokens: list[str], gaps: list[bool]) -> np.ndarray:
+        """Emission scores of a sequence's tokens."""
         get, none = self.numbers.get, len(self.numbers)
-        at = np.array([[get(x, none) for x in f] for f in feats], np.int64)
-        return np.vstack([self.emit, np.zeros((1, len(LABELS)))])[at].sum(1)
+        out = np.zeros((len(tokens), len(LABELS)))
+        for i in range(0, len(tokens), SCORED):
+            lo, hi = max(0, i - BEFORE - 1), min(len(tokens), i + SCORED + AFTER + 1)
+            part = features(tokens[lo:hi], gaps[lo:hi], i - lo, min(i + SCORED, len(tokens)) - lo)
+            out[i : i + len(part)] = self.emit[np.array([[get(x, none) for x in f] for f in part], np.int64)].sum(1)
+        return out
 
-    def decode(self, sequences: list[tuple[list[str], list[bool]]]) -> list[np.ndarray]:
-        lens = np.array([len(t) for t, _ in sequences], np.int64)
+    def certain(self, scores: np.ndarray) -> np.ndarray:
+        """Tokens that are "other" on the best path, whatever stands around them."""
+        return (scores[:, :1] - scores[:, 1:] > self.gain[1:] + 1e-9).all(1)
+
+    def viterbi(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
+        """Best labels of each piece, given its scores."""
+        lens = np.array([len(p) for p in pieces], np.int64)
+        if not len(lens):
+            return []
+        flat = np.concatenate(pieces)
         starts = np.cumsum(lens) - lens
-        feats = [f for t, g in sequences for f in features(t, g)]
-        flat = self.scores(feats)
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sequences)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
         for group in crf.batches(lens):
             e, mask = crf.padded(flat, starts[group], lens[group])
             got = crf.viterbi(e, mask, self.trans)
@@ -258,22 +285,67 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, rou
     return Field(numbers, emit[:none], trans)
 
 
-def segments(text: str) -> list[tuple[int, int]]:
-    """The parts of a text around its triggers, cut at blanks where that is near."""
+def triggers(text: str) -> list[tuple[int, int]]:
+    """Where a span of some kind must lie about: digits, at signs, ``at ... dot``."""
+    return [(m.start(), m.end(1) if m[1] else m.end()) for m in TRIGGER.finditer(text)]
+
+
+def segments(text: str, around: int) -> list[tuple[int, int, int, int]]:
+    """Parts of a text (start, end) that reach ``around`` beyond their triggers (first start, last
+    end) and on to the next place that lies in no word; parts that meet are one."""
     out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+    for s, e in triggers(text):
+        lo, hi = max(0, s - around), min(len(text), e + around)
         if out and lo <= out[-1][1]:
-            out[-1][1] = hi
-        else:
-            out.append([lo, hi])
-    return [(s, e) for s, e in out]
+            out[-1][1], out[-1][3] = max(hi, out[-1][1]), max(e, out[-1][3])
+            continue
+        out.append([lo, hi, s, e])
+    for part in out:
+        while 0 < part[0] and (text[part[0] - 1].isalnum() and text[part[0]].isalnum()):
+            part[0] -= 1
+        while part[1] < len(text) and text[part[1] - 1].isalnum() and text[part[1]].isalnum():
+            part[1] += 1
+    return [tuple(p) for p in out]
+
+
+def pieces(field: Field, text: str) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+    """Scores and places of the tokens of each piece that is to be decoded: from one certain "other"
+    (or the text's end) to the next."""
+    around = AROUND
+    open_ = segments(text, around)
+    while open_:
+        again: list[tuple[int, int, int, int]] = []
+        for lo, hi, first, last in open_:
+            tokens, gaps, places = tokens_of(text, lo, hi)
+            if not tokens:
+                continue
+            scores = field.scores(tokens, gaps)
+            sure = field.certain(scores)
+            # what lies beyond a part's ends is in the features of its outermost tokens
+            if lo > 0:
+                sure[:BEFORE] = False
+            if hi < len(text):
+                sure[max(0, len(sure) - AFTER) :] = False
+            cut = np.flatnonzero(sure).tolist()
+            if (lo > 0 and not any(places[k][1] <= first for k in cut[:1])) or (hi < len(text) and not any(places[k][0] >= last for k in cut[-1:])):
+                again.append((lo, hi, first, last))
+                continue
+            ends = [*([0] if lo == 0 else []), *cut, *([len(tokens) - 1] if hi == len(text) else [])]
+            for a, b in zip(ends, ends[1:], strict=False):
+                if b > a + 1 or (b > a and not (sure[a] and sure[b])):
+                    yield scores[a : b + 1], places[a : b + 1]
+            if len(tokens) == 1 and not sure[0]:
+                yield scores, places
+        around = max(16, 4 * around)
+        # the parts that go on are made anew, farther out
+        wider = segments(text, around) if again else []
+        open_ = [w for w in wider if any(w[2] <= p[2] and p[3] <= w[3] for p in again)]
 
 
 def plausible(kind: int, text: str) -> bool:
     n = len(digits_in(text))
     if kind == 0:
-        return ("@" in text or re.search(r"(?i)\bat\b.*\bdot\b", text) is not None) and any(c.isalpha() for c in text)
+        return ("@" in text or SPELLED.search(text) is not None) and any(c.isalpha() for c in text)
     if kind == 1:
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -282,30 +354,38 @@ def plausible(kind: int, text: str) -> bool:
 
 def added_spans(field: Field, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """Spans of the field, by text, that overlap no base span."""
-    owner, sequences, places = [], [], []
+    owner, scores, places = [], [], []
     for k, t in enumerate(texts):
-        for s, e in segments(t):
-            tokens, gaps, where = tokens_of(t, s, e)
-            if tokens:
-                owner.append(k)
-                sequences.append((tokens, gaps))
-                places.append(where)
-    out: list[list[Span]] = [[] for _ in texts]
-    for k, where, labels in zip(owner, places, field.decode(sequences), strict=True):
-        i = 0
-        while i < len(labels):
-            if labels[i] == 0:
-                i += 1
-                continue
-            kind = (int(labels[i]) - 1) // 2
-            j = i + 1
-            while j < len(labels) and labels[j] == 2 + 2 * kind:
-                j += 1
-            s, e = where[i][0], where[j - 1][1]
-            if plausible(kind, texts[k][s:e]) and all(e <= b or s >= f for b, _, f in base[k]):
-                out[k].append((s, kind, e))
-            i = j
-    return out
+        for e, where in pieces(field, t):
+            owner.append(k)
+            scores.append(e)
+            places.append(where)
+    out: list[set[Span]] = [set() for _ in texts]
+    # base spans begin in order; how far those up to each one reach
+    begin = [[b for b, _, _ in spans] for spans in base]
+    reach = [list(accumulate((f for _, _, f in spans), max)) for spans in base]
+    for k, where, labels in zip(owner, places, field.viterbi(scores), strict=True):
+        for s, kind, e in runs(labels, where):
+            if plausible(kind, texts[k][s:e]):
+                before = bisect_left(begin[k], e)
+                if not before or reach[k][before - 1] <= s:
+                    out[k].add((s, kind, e))
+    return [sorted(x) for x in out]
+
+
+def runs(labels: np.ndarray, places: list[tuple[int, int]]) -> Iterator[Span]:
+    """The spans that labels mark."""
+    i = 0
+    while i < len(labels):
+        if labels[i] == 0:
+            i += 1
+            continue
+        kind = (int(labels[i]) - 1) // 2
+        j = i + 1
+        while j < len(labels) and labels[j] == 2 + 2 * kind:
+            j += 1
+        yield places[i][0], kind, places[j - 1][1]
+        i = j
 
 
 def found(field: Field, bodies: list[bytes]) -> tuple[list[list[Span]], list[list[Span]], list[str]]:
