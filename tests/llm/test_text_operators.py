@@ -49,7 +49,7 @@ def test_search_equals_plain_scores(monkeypatch):
     items = [(k, " ".join(r.choice(words) for _ in range(r.randint(6, 14))).encode()) for k in range(40)]
     index = decontam.build(items)
     texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 90))).encode() for _ in range(40)]
-    got = {(d, index.items[k]) for d, k, *_ in decontam.search(index, decontam.Terms(index.vocab), texts)}
+    got = {(d, k) for d, k, *_ in decontam.search(index, decontam.Terms(index.vocab), texts)}
     seqs = {i: decontam.words_of(t) for i, t in items}
     n, mean = len(items), np.mean([len(s) for s in seqs.values()])
     df = Counter(w for s in seqs.values() for w in set(s))
@@ -67,6 +67,22 @@ def test_search_equals_plain_scores(monkeypatch):
     assert got == want and want
 
 
+def test_short_items_are_word_sequences(spark, monkeypatch):
+    """Items of one to four words, beside long ones and in several shards; columns with clashing names."""
+    items = [(1, "Who?"), (2, "blue sky"), (3, "one two three four"), (4, "two three"), (5, "..."), (6, None), (7, "blue sky"), (8, "what is the answer to all of this? forty two it is")]
+    docs = [(1, "who knows"), (2, "a Blue, SKY!"), (3, "sky blue"), (4, "one two three"), (5, "x one two three four y one two three four"), (6, "blue"), (7, "sky"), (8, None), (9, "what is the answer to all of this? forty two it is")]
+    bench = spark.createDataFrame([(*i, "b", 1) for i in items], "item_id long, text string, doc_id string, score int")
+    df = spark.createDataFrame([(*d, "x", 0.5) for d in docs], "doc_id long, text string, item_id string, score double")
+    want = {(1, 1), (2, 2), (2, 7), (4, 4), (5, 3), (5, 4), (9, 8)}
+    for most in (50_000, 2):
+        monkeypatch.setattr(decontam, "ITEMS_PER_SHARD", most)
+        got = decontam.leaks(df, bench).collect()
+        assert len(got) == len(want) and {(r.doc_id, r.item_id) for r in got} == want
+        assert {(r.item_id, r.first_word) for r in got if r.doc_id == 5} == {(3, 1), (4, 2)}
+        left = decontam.without_leaks(df, bench)
+        assert {r.doc_id for r in left.collect()} == {3, 6, 7, 8} and left.columns == df.columns
+
+
 # ---------------------------------------------------------------- personal data
 
 PATTERNS = {0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 1: r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 2: r"[0-9]([\x20-]?[0-9])+", 3: r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -14,12 +14,16 @@ block-max WAND over whole chunks of windows at once:
 A hit is then verified: of the item's question and of its answer (its last sentence) the shares of
 word n-grams found in the window must both reach LEAST_OVERLAP.
 
-The index holds at most ITEMS_PER_SHARD items; more items make more shards, each of which the
-documents are run against, so none is left out.
+Items of fewer than LEAST_WORDS words have no sentences to compare; they are found where their words
+stand in a text, all of them and in order.
 
-Defined cases: null or empty texts on either side match nothing; items of fewer than LEAST_WORDS
-words occur by chance and can't be told from clean text, so they match nothing; rows that repeat
-are reported each; of equal scores in a document the first window counts.
+The index holds at most about ITEMS_PER_SHARD items and SHARD_BYTES of their texts; more make more
+shards, one after the other in the driver, and the documents are run against each, so none is left out.
+
+Defined cases: null or empty texts, and texts of marks only, match nothing on either side; texts of
+any length are read whole; rows that repeat are reported each; of equal scores in a document the
+first window counts; of short items the first place; an empty table on either side gives no hits.
+Columns beside the ids and the texts aren't read (``without_leaks`` keeps them).
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ LEAST_OVERLAP = 0.5
 LEAST_WORDS = 5
 NGRAM = 3
 BLOCK = 8
-ITEMS_PER_SHARD = 50_000
+ITEMS_PER_SHARD, SHARD_BYTES = 50_000, 64 << 20
 CHUNK_BYTES = 8 << 20
 CACHE_WORDS = 300_000
 STRIP = b".,;:!?\"'()[]{}<>|#$%&*+-=/\\_~^`@"
@@ -67,6 +71,39 @@ def grams(words: list) -> set:
     return set(zip(*(words[k:] for k in range(n)), strict=False)) if n else set()
 
 
+class Sequences:
+    """Short word sequences as a tree: from a node and a word to the next node, as one sorted array."""
+
+    def __init__(self, items: list[tuple[object, list[int]]], n_terms: int):
+        self.n_terms = n_terms
+        nodes: dict[int, int] = {}
+        self.held: dict[int, list] = {}
+        for name, words in items:
+            node = 0
+            for w in words:
+                node = nodes.setdefault(node * n_terms + w, len(nodes) + 1)
+            self.held.setdefault(node, []).append(name)
+        order = sorted(nodes)
+        self.keys, self.next = np.array(order, np.int64), np.array([nodes[k] for k in order], np.int64)
+        self.begins = np.zeros(n_terms, bool)
+        self.begins[[w[0] for _, w in items]] = True
+
+    def find(self, flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, object]]:
+        """(place, item) of each sequence that stands in ``flat``; ``ends``: by place, where its text ends."""
+        place = np.flatnonzero(self.begins[flat]) if self.held else np.zeros(0, np.int64)
+        node, depth = np.zeros(len(place), np.int64), 0
+        while len(place):
+            inside = place + depth < ends[place]
+            place, node = place[inside], node[inside]
+            key = node * self.n_terms + flat[place + depth]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = self.keys[at] == key
+            place, node = place[ok], self.next[at[ok]]
+            for p, n in zip(place.tolist(), node.tolist(), strict=True):
+                yield from ((p, name) for name in self.held.get(n, ()))
+            depth += 1
+
+
 @dataclass
 class Index:
     vocab: dict[bytes, int]  # from 1
@@ -84,6 +121,7 @@ class Index:
     need_item: np.ndarray
     rest: list[dict[int, float]]  # words that are not essential, by item
     own: np.ndarray  # BM25 of an item for itself
+    short: Sequences  # of the items of few words
 
 
 def build(items: list[tuple[object, bytes]]) -> Index:
@@ -91,9 +129,10 @@ def build(items: list[tuple[object, bytes]]) -> Index:
     seqs = [words_of(t or b"") for _, t in items]
     keep = [k for k, s in enumerate(seqs) if len(s) >= LEAST_WORDS]
     keep.sort(key=lambda k: (len(seqs[k]), seqs[k]))  # like items share blocks
+    few = [(items[k][0], s) for k, s in enumerate(seqs) if 0 < len(s) < LEAST_WORDS]
     seqs, kept = [seqs[k] for k in keep], [items[k] for k in keep]
     vocab: dict[bytes, int] = {}
-    for s in seqs:
+    for s in [*seqs, *(s for _, s in few)]:
         for w in s:
             vocab.setdefault(w, len(vocab) + 1)
     df = np.zeros(len(vocab) + 1)
@@ -130,7 +169,7 @@ def build(items: list[tuple[object, bytes]]) -> Index:
     parts = [tuple([vocab[w] for w in h] for h in halves(t)) for _, t in kept]
     return Index(
         vocab, [i for i, _ in kept], 2 * max(map(len, seqs), default=1), parts, np.r_[starts, len(posts)], term_first,
-        item[starts] // BLOCK, top, item, weight, need_block, need, rest, own,
+        item[starts] // BLOCK, top, item, weight, need_block, need, rest, own, Sequences([(i, [vocab[w] for w in s]) for i, s in few], len(vocab) + 1),
     )
 
 
@@ -149,10 +188,8 @@ class Terms(dict):
         return n
 
 
-def search(index: Index, terms: Terms, texts: list[bytes]) -> list[tuple[int, int, float, float, float, int]]:
-    """(text, item, score, question overlap, answer overlap, first word) of each verified hit."""
-    if not index.items:
-        return []
+def search(index: Index, terms: Terms, texts: list[bytes]) -> list[tuple[int, object, float, float, float, int]]:
+    """(text, item's id, score, question overlap, answer overlap, first word) of each verified hit."""
     seqs = []
     for t in texts:
         found = t.lower().split()
@@ -161,6 +198,15 @@ def search(index: Index, terms: Terms, texts: list[bytes]) -> list[tuple[int, in
     lens = np.array([len(s) for s in seqs])
     flat = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
     base = np.cumsum(lens) - lens
+    firsts: dict[tuple[int, object], int] = {}
+    for place, name in index.short.find(flat, np.repeat(base + lens, lens)):
+        d = int(np.searchsorted(base, place, side="right") - 1)
+        firsts[d, name] = min(place - int(base[d]), firsts.get((d, name), place))
+    short = [(d, name, 1.0, 1.0, 1.0, at) for (d, name), at in sorted(firsts.items(), key=lambda x: x[0][0])]
+    return short + (long_hits(index, seqs, flat, lens, base) if index.items else [])
+
+
+def long_hits(index: Index, seqs: list[np.ndarray], flat: np.ndarray, lens: np.ndarray, base: np.ndarray) -> list[tuple[int, object, float, float, float, int]]:
     step = index.window // 2
     # windows begin at every multiple of step within a text; a word lies in two of them
     per_text = np.maximum(1, -(-lens // step))
@@ -218,18 +264,20 @@ def search(index: Index, terms: Terms, texts: list[bytes]) -> list[tuple[int, in
             old = best.get((d, k))
             if old is None or (-score, begin) < (-old[0], old[3]):
                 best[(d, k)] = (score, shares[0], shares[1], begin)
-    return [(d, k, *v) for (d, k), v in sorted(best.items())]
+    return [(d, index.items[k], *v) for (d, k), v in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """The items in shards of at most ITEMS_PER_SHARD or so, by a hash of their ids."""
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[Index, bool]]:
+    """The items in shards of bounded size, by a hash of their ids and texts, one after the other;
+    with each, whether there are more than one."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body")).where("body is not null")
-    shards = -(-rows.count() // ITEMS_PER_SHARD)
-    out = []
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("body")), F.lit(0))).first()
+    shards = max(-(-n // ITEMS_PER_SHARD), -(-size // SHARD_BYTES))
     for k in range(shards):
         part = rows.where(F.pmod(F.xxhash64("id", "body"), F.lit(shards)) == k).collect()
-        out.append(build(sorted(((r.id, bytes(r.body)) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
-    return [x for x in out if x.items]
+        index = build(sorted(((r.id, bytes(r.body)) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        if index.vocab:
+            yield index, shards > 1
 
 
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
@@ -238,7 +286,11 @@ HITS = "doc_id long, item_id long, score double, question_overlap double, answer
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and item it holds."""
     spark = docs.sparkSession
-    found = [_leaks(docs, x, id_col, text_col) for x in indexes(benchmark)]
+    # with several shards each is run before the next one is made, so one index is held at a time
+    found = []
+    for index, several in indexes(benchmark):
+        hits = _leaks(docs, index, id_col, text_col)
+        found.append(common.written(hits, "hits") if several else hits)
     if not found:
         return spark.createDataFrame([], HITS)
     out = found[0]
@@ -257,7 +309,7 @@ def _leaks(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [
                     who.take(pa.array(columns[0], pa.int64())),
-                    pa.array([index.items[k] for k in columns[1]], pa.int64()),
+                    pa.array(columns[1], pa.int64()),
                     *(pa.array(columns[j], pa.float64()) for j in (2, 3, 4)),
                     pa.array(columns[5], pa.int64()),
                 ],
@@ -269,7 +321,7 @@ def _leaks(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFra
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds a test item."""
-    for index in indexes(benchmark):
+    for index, several in indexes(benchmark):
 
         def judge(index: Index = index):
             terms = Terms(index.vocab)
@@ -282,6 +334,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
             return held
 
         docs = common.kept(docs, judge, text_col)
+        docs = common.written(docs, "without-leaks") if several else docs
     return docs
 
 
