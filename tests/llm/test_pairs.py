@@ -69,6 +69,44 @@ def test_tiles_and_long_lists(spark, monkeypatch):
     assert got == brute_force(rows)
 
 
+def test_repeated_rows_leave_one(spark):
+    """Rows with one id, equal texts without an id, and columns with clashing names."""
+    rows = [
+        (1, "a b c d e"), (1, "a b c d e"), (2, "A b  c d e"), (3, None), (3, ""), (4, "x y z w"), (4, "q r s t u"), (5, "k l m n"),
+        (None, "k l m n"), (None, "only here twice"), (None, "only here twice"), (None, "Only here TWICE"), (None, None), (None, " "), (6, "lone words stand here"),
+    ]
+    df = spark.createDataFrame([(*x, k, "c", 0.5, None) for k, x in enumerate(rows)], "doc_id long, text string, row int, component_id string, count double, `print` string")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    want = [(1, "a b c d e"), (3, None), (4, "q r s t u"), (5, "k l m n"), (6, "lone words stand here"), (None, None), (None, " ")]
+    rest = [x for x in kept if x not in want or want.remove(x)]
+    assert (not want or want == [(3, None)]) and len(kept) == 8, kept
+    assert all(i == 3 or (i is None and t.lower() == "only here twice") for i, t in rest), rest
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_counting_in_two_stages(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    bodies = common.texts(spark.createDataFrame(corpus(), "doc_id long, text string").repartition(9)).withColumn("body", F.col("body"))
+    one = jaccard.common_cells(bodies)
+    monkeypatch.setattr(jaccard, "STAGED", 1)
+    assert (jaccard.common_cells(bodies) == one).all()
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    """A star, a chain and a clique, with and without hubs that are broadcast."""
+    r = random.Random(2)
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1040)] + [(a, b) for a in range(2000, 2030) for b in range(a)if b >= 2000] + [(399, 1020), (5000, 5000)]
+    r.shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {**{k: 0 for k in range(400)}, **{k: 0 for k in range(1000, 1041)}, **{k: 2000 for k in range(2000, 2030)}}
+    for hub in (5, 200, 10**6):
+        monkeypatch.setattr(common, "HUB_LINKS", hub)
+        assert {x.node: x.root for x in common.components(df).collect()} == want
+
+
 def test_products_equal_set_sizes():
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 300, r.integers(1, 120)).astype(np.uint64)) for _ in range(80)]

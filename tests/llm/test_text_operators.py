@@ -473,10 +473,11 @@ def test_language_model(spark, odd, nothing, tokenizers_dir, monkeypatch, most):
         lat = np.array([math.log(lattice.STOP) if w == b"\n" else p.log_probs([w])[0] for w in set(ws)])
         each = dict(zip(set(ws), lat, strict=True))
         mixed = sum(np.logaddexp(math.log(c[w] / (n + v)) if c[w] else -np.inf, math.log(v / (n + v)) + each[w]) / math.log(10) for w in ws)
-        want.setdefault(i, []).append((len(ws), sum(c[w] > 0 for w in ws), base, mixed))
+        alone = sum(each[w] / math.log(10) for w in ws)
+        want.setdefault(i, []).append((len(ws), sum(c[w] > 0 for w in ws), base, mixed, alone))
     for r in got:
         assert r.train_tokens == n
-        assert any((r.n_tokens, r.n_known) == w[:2] and math.isclose(r.base_score, w[2], rel_tol=1e-9) and math.isclose(r.score, w[3], rel_tol=1e-9) for w in want[r.id]), r
+        assert any((r.n_tokens, r.n_known) == w[:2] and math.isclose(r.base_score, w[2], rel_tol=1e-9) and math.isclose(r.score, w[3], rel_tol=1e-9) and math.isclose(r.lattice_score, w[4], rel_tol=1e-9) for w in want[r.id]), r
     assert lattice.score(nothing, counts, path).count() == 0
     bare = lattice.score(odd, counts.limit(0), path).collect()
     assert len(bare) == odd.count() and all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in bare)

@@ -7,7 +7,8 @@ over the file; characters without a piece are spelled in byte pieces, and a word
 with a fixed chance, so that all words' probabilities sum to at most one. The lattice model is
 interpolated with the words counted in the training documents (Witten-Bell): what was seen often
 is predicted by its count, what was not by its spelling. A document's score is the log10
-probability of its words and one end.
+probability of its words and one end; ``lattice_score`` is the log10 probability that the vocabulary's
+lattice alone gives it, without any count of the corpus.
 
 Counting and scoring follow the corpus: word counts are summed in chunks, then by word. The
 most frequent words, FREQUENT at most, go to the workers as a table; every other (document, word) pair meets
@@ -16,7 +17,7 @@ documents. No words are left out and the table's size only moves work between th
 
 Defined cases: null and empty texts have one token, the end; words of any length are scored; rows
 that repeat are scored each; without training documents all counts are 0, N is 0 and the
-lattice alone scores.
+lattice alone scores; an empty table gives no rows. Columns beside the id and the text aren't read.
 """
 
 from __future__ import annotations
@@ -217,8 +218,8 @@ class Model:
 
 
 def score(docs: DataFrame, counts: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` by row, from a
-    written table of counts."""
+    """``id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` and
+    ``lattice_score`` by row, from a written table of counts."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     model = Model(path, int(total.n), int(total.v))
     top = frequent(counts).collect()
@@ -232,11 +233,12 @@ def score(docs: DataFrame, counts: DataFrame, path: str, id_col: str = "doc_id",
         base, mixed = model.base(c), model.mixed(c, own)
         end = (known[END], 0.0) if END in known else (-1, float(model.mixed(np.zeros(1), np.array([math.log(STOP)]))[0]))
         for part in common.chunks(batches, CHUNK_BYTES):
-            yield _sums(part, known, base, mixed, lattice, end, float(model.base(0.0)))
+            yield _sums(part, known, base, mixed, own, lattice, end, float(model.base(0.0)))
 
     rows = common.texts(docs, id_col, text_col).mapInArrow(
         work, "id long, h int, word binary, copies long, tokens long, known long, base double, score double, tf long, lattice double"
     )
+    # a document's own row has the sum over its frequent words in ``lattice``
     met = rows.join(counts, "word", "left")
     seen = F.coalesce("c", F.lit(0))
     n, v = F.lit(float(model.n)), F.lit(float(model.v))
@@ -252,6 +254,7 @@ def score(docs: DataFrame, counts: DataFrame, path: str, id_col: str = "doc_id",
         F.sum(F.col("known") + F.when(seen > 0, F.col("tf")).otherwise(0)).alias("known"),
         F.sum(F.col("base") + F.when(F.col("tf") > 0, F.col("tf") * F.log10((seen + 1) / (n + v + 1))).otherwise(0.0)).alias("base"),
         F.sum(F.col("score") + F.when(F.col("tf") > 0, F.col("tf") * deep).otherwise(0.0)).alias("score"),
+        F.sum(F.col("lattice") * F.when(F.col("tf") > 0, F.col("tf")).otherwise(1)).alias("lattice"),
     )
     one = sums.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return one.select(
@@ -261,6 +264,7 @@ def score(docs: DataFrame, counts: DataFrame, path: str, id_col: str = "doc_id",
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("copies")).alias("base_score"),
         (F.col("score") / F.col("copies")).alias("score"),
+        (F.col("lattice") / F.col("copies") / math.log(10)).alias("lattice_score"),
     )
 
 
@@ -273,7 +277,7 @@ def _lattice(lattice: Pieces, words: list[bytes]) -> np.ndarray:
     return out
 
 
-def _sums(part: pa.Table, known: dict, base: np.ndarray, mixed: np.ndarray, lattice: Pieces, end: tuple[int, float], unseen: float) -> pa.RecordBatch:
+def _sums(part: pa.Table, known: dict, base: np.ndarray, mixed: np.ndarray, own: np.ndarray, lattice: Pieces, end: tuple[int, float], unseen: float) -> pa.RecordBatch:
     """A row with the sums over frequent words for each document, and one row for each document
     and other word. Documents' rows bear a word that no table holds, different for each."""
     bodies = common.bodies(part)
@@ -292,6 +296,7 @@ def _sums(part: pa.Table, known: dict, base: np.ndarray, mixed: np.ndarray, latt
     tokens = np.bincount(doc[often], minlength=n) + 1
     base_sum = np.bincount(doc[often], weights=base[k[often]], minlength=n) + (base[end[0]] if end[0] >= 0 else unseen)
     score_sum = np.bincount(doc[often], weights=mixed[k[often]], minlength=n) + (mixed[end[0]] if end[0] >= 0 else end[1])
+    lattice_sum = np.bincount(doc[often], weights=own[k[often]], minlength=n) + math.log(STOP)
     n_known = np.bincount(doc[often], minlength=n) + (end[0] >= 0)
     width = max(1, len(local.items_))
     pair, tf = np.unique(doc[~often] * width + flat[~often], return_counts=True)
@@ -315,7 +320,7 @@ def _sums(part: pa.Table, known: dict, base: np.ndarray, mixed: np.ndarray, latt
             pa.array(np.r_[base_sum, zero_f]),
             pa.array(np.r_[score_sum, zero_f]),
             pa.array(np.r_[np.zeros(n, np.int64), tf]),
-            pa.array(np.r_[np.zeros(n), lat]),
+            pa.array(np.r_[lattice_sum, lat]),
         ],
         names=["id", "h", "word", "copies", "tokens", "known", "base", "score", "tf", "lattice"],
     )
@@ -328,5 +333,5 @@ def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = common.texts(docs).where(common.fold("id", 7) != 2)
     counts = common.written(word_counts(training), "counts")
     return score(docs, counts, public_tokenizers.path("piece_bpe_32k.model")).select(
-        F.col("id").alias("doc_id"), (common.fold("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        F.col("id").alias("doc_id"), (common.fold("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"
     )

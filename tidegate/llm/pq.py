@@ -6,7 +6,9 @@ centroid is cut into subspaces, each coded by its nearest of 256 codewords. Ever
 queries the lists that can hold a vector within the threshold's distance, told by how far it is from
 the plane halfway between its own centroid and theirs: a neighbour at distance t lies beyond a plane
 at distance h only if its offset points h/t or more along one direction, which for h/t over
-REACH / sqrt(dimensions) is all but impossible. In a list, a table of squared distances from the query's residual to all codewords gives the distance
+REACH / sqrt(d) is all but impossible, d being the number of dimensions in which residuals really
+spread (the sample tells: the square of the summed variances over the sum of their squares, along
+principal axes); up to d = REACH^2 the whole distance is reached. In a list, a table of squared distances from the query's residual to all codewords gives the distance
 to each coded vector by look-ups alone. A vector stays a candidate if that distance is within the
 threshold's plus the vector's own coding error, which by the triangle inequality loses nothing;
 candidates are ranked anew by exact cosine in double precision, and those below the threshold go.
@@ -20,7 +22,7 @@ pairs.
 Defined cases: null and empty vectors, zero vectors and vectors with null or non-finite components
 link with nothing and are their own component; vectors of different lengths don't link; rows that
 repeat are vectors of their own, linked with each other; a row without an id gets the component of
-its class, or null.
+its class, or null; an empty table gives no rows. Columns beside the id and the vector aren't read.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 from tidegate.llm import common
 
 THRESHOLD = 0.95
-#: The sample the quantisers are fitted on, and the most lists.
-SAMPLE, MOST_LISTS = 60_000, 4096
+#: The sample the quantisers are fitted on: vectors and bytes at most; and the most lists.
+SAMPLE, SAMPLE_BYTES, MOST_LISTS = 60_000, 96 << 20, 15_000
 SUBSPACES, CODES = 8, 256
 #: Probes go as far as this many standard deviations of a random offset along one direction.
 REACH = 3.5
@@ -79,7 +81,11 @@ class Quantiser:
         self.coarse = k_means(sample, lists)
         self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         residual = sample - self.coarse[np.concatenate([nearest(sample[s : s + 8192].astype(np.float32), self.coarse) for s in range(0, len(sample), 8192)])]
-        self.books = [k_means(residual[:16384, s:e], CODES) for s, e in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+        some = residual[:16384]
+        spread = np.linalg.eigvalsh(some.T @ some) if len(some) else np.zeros(1)
+        #: Dimensions in which residuals spread, as if evenly.
+        self.spread = float(spread.sum() ** 2 / (spread**2).sum()) if (spread > 0).any() else 1.0
+        self.books = [k_means(some[:, s:e], CODES) for s, e in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
 
     def parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
         yield from zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), self.books, strict=True)
@@ -89,7 +95,7 @@ class Quantiser:
         d = distances(x.astype(np.float32), self.coarse)
         own = d.argmin(1)
         apart = np.sqrt(distances(self.coarse[own], self.coarse))
-        part = min(1.0, REACH / np.sqrt(x.shape[1]))
+        part = min(1.0, REACH / np.sqrt(self.spread))
         near = d - np.take_along_axis(d, own[:, None], 1) <= 2 * part * reach * apart + 1e-3
         near[np.arange(len(x)), own] = True
         probes = [np.flatnonzero(row) for row in near]
@@ -161,8 +167,12 @@ def prepare(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def found(reps: DataFrame, threshold: float) -> DataFrame:
     """Rows ``a``, ``b``, ``n``: a query with its number of links, or a spanning link (n null).
     ``reps``: ``id``, ``m`` (vectors of the class), ``vec``, of one length."""
-    sample = unit([bytes(r.vec) for r in reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()])
-    lists = int(np.clip(4 * np.sqrt(reps.count()), 1, min(MOST_LISTS, max(1, len(sample) // 4))))
+    n, size = reps.agg(F.count("*"), F.max(F.length("vec"))).first()
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // size))
+    # chosen by a hash where the vectors lie, so that about the sample and no more is sent
+    chosen = reps if n <= most else reps.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+    sample = unit([bytes(r.vec) for r in sorted(chosen.select("id", "vec").collect(), key=lambda r: r.id)] or [bytes(reps.select("vec").first().vec)])
+    lists = int(np.clip(4 * np.sqrt(n), 1, min(MOST_LISTS, max(1, len(sample) // 4))))
     quantiser = Quantiser(sample, lists)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 

@@ -14,7 +14,8 @@ partial sums by symbol code and by page.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path and meet no rule; the
 model reads the whole url (null as empty), a url without symbols scores 0; rows that repeat are
-returned each; without examples of both kinds the cut is 0 (score 0 is allowed).
+returned each; urls of any length are read whole; without examples of both kinds the cut is 0 (score 0
+is allowed); an empty table gives no rows. Columns beside the id and the url aren't read.
 """
 
 from __future__ import annotations
@@ -179,5 +180,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col:
     return out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("page_id", "host", "path", "rule", "verdict", "score", "cut")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the filter that the rules decide: host, path, rule and its verdict of every page."""
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
+    return ruled(pages, RULES).select("page_id", "host", "path", "rule", F.col("by_rule").alias("rule_verdict"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "pages"))
