@@ -169,11 +169,14 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 HUB_LINKS, MOST_HUBS = 200, 100_000
 
 
-def _with_least(rows: DataFrame, low: DataFrame, n_links: int) -> DataFrame:
+def _with_least(rows: DataFrame, low: DataFrame, n_links: int, most: int) -> DataFrame:
     """``u``, ``v`` and ``m``, the value that ``low`` (``u``, ``m``, ``n``: rows) has for u. Hubs are
     at most MOST_HUBS rows (2 * n_links rows are there, and each has more than its share of them)
-    and meet their rows by broadcast; other nodes have few rows and meet theirs by a shuffle."""
+    and meet their rows by broadcast; other nodes have few rows and meet theirs by a shuffle.
+    ``most``: of the links of any node; where it shows that there is no hub the plan is the join alone."""
     hub = max(HUB_LINKS, 2 * n_links // MOST_HUBS)
+    if most <= hub:
+        return rows.join(low.select("u", "m"), "u")
     hubs, rest = F.broadcast(low.where(F.col("n") > hub).select("u", "m")), low.where(F.col("n") <= hub).select("u", "m")
     return rows.join(hubs, "u").unionAll(rows.join(hubs, "u", "left_anti").join(rest, "u"))
 
@@ -200,10 +203,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.where("v > u"), low, seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        most = low.agg(F.max("n")).first()[0]
+        large = _with_least(both.where("v > u"), low, seen[0], most).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            _with_least(large, low2, seen[0])
+            _with_least(large, low2, seen[0], most)
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")

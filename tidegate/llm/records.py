@@ -20,6 +20,7 @@ Columns beside the id and the text aren't read.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -39,11 +40,11 @@ from tidegate.llm import bpe, common
 MAGIC = b"TIDEREC1"
 ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("tokens", "<u4"), ("has_id", "<u4")])
 MASK = 0xA282EAD8
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Rows sampled for each file to find where its ids end.
 SAMPLED = 50
 #: Cached encodings of words and of runs of marks, by worker; some 50 bytes each.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 
 def masked(data: bytes) -> int:
@@ -98,6 +99,7 @@ class WordCache:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -216,6 +218,8 @@ def encoded(keyed: DataFrame, path: str, end: int | None, ends: list[tuple]) ->
                 [part, common.ids(chunk), common.ids(chunk, "tie"), pa.array(np.diff(cut)), pa.array(np.full(len(chunk), width, np.int32)), payload.cast(pa.binary())],
                 names=["part", "id", "tie", "tokens", "width", "payload"],
             )
+            del ids, cut, payload
+            pa.default_memory_pool().release_unused()
 
     return keyed.mapInArrow(work, "part int, id long, tie long, tokens long, width int, payload binary")
 
