@@ -239,6 +239,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One for each worker process and vocabulary, so its cache serves all tasks of the worker."""
+    common.claim("bpe", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

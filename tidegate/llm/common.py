@@ -9,6 +9,8 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -141,6 +143,29 @@ def ids(part: pa.Table | pa.RecordBatch, column: str = "id") -> pa.Array:
     return got.combine_chunks() if isinstance(got, pa.ChunkedArray) else got
 
 
+_claims: dict[str, Callable[[], object]] = {}
+
+
+def trimmed() -> None:
+    """Gives memory that is held but not used back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def claim(owner: str, clear: Callable[[], object] = lambda: None) -> None:
+    """Says that a worker process now works for ``owner``, whose caches ``clear`` empties. Workers serve one
+    operator after another, and the caches of those before are emptied."""
+    others = [k for k in _claims if k != owner]
+    for k in others:
+        _claims.pop(k)()
+    if others:
+        trimmed()
+    _claims[owner] = clear
+
+
 class Interner(dict):
     """Numbers strings in the order in which they are first seen; ``items_`` has them by number."""
 
@@ -256,6 +281,7 @@ def kept(docs: DataFrame, judge: Callable[[], Callable[[pa.StringArray], np.ndar
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("judge")
         keep = judge()
         for part in chunks(batches, JUDGED_BYTES, text_col):
             texts = pc.fill_null(strings(part, text_col), "")
@@ -271,6 +297,7 @@ def rewritten(docs: DataFrame, writer: Callable[[], Callable[[list[bytes]], list
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("writer")
         write = writer()
         for part in chunks(batches, JUDGED_BYTES, text_col):
             names = part.schema.names

@@ -180,6 +180,7 @@ _caches: dict[str, WordCache] = {}
 
 
 def cache_of(path: str) -> WordCache:
+    common.claim("records", _caches.clear)
     if path not in _caches:
         _caches[path] = WordCache(path)
     return _caches[path]

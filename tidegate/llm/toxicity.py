@@ -410,6 +410,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 2)
     found = Bags(start, lists.flatten().to_numpy().astype(np.int64), common.ids(rows, "counts").flatten().to_numpy().astype(float), np.zeros(len(ids)))
     index.build(ids, rows.column("y").to_numpy(), index.vectors(found))
     index.calibrate()
+    del rows, lists, found, terms
+    common.trimmed()
     return index
 
 
