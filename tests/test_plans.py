@@ -117,3 +117,42 @@ def test_sources_and_soundcheck(spark, tmp_path):
     assert sources.kafka_options({"servers": ["nats://h:1", "h2:2"], "tls": True})["kafka.bootstrap.servers"] == "h:1,h2:2"
     assert sources.export_rows(got and spark.createDataFrame([("o.x", "1")], "subject string, payload string"), {"origin-header": "X"}).first().topic == "o"
     assert sources.envelopes(spark.createDataFrame([("s", "p"), ("s", "\0")], "subject string, payload string")).count() == 1
+
+
+def test_statistics_of_every_kind_of_rule(spark):
+    """Planned, computed-window and timer rules are counted, and a rule that nothing matches is 0."""
+    from tidegate import engine
+
+    rows = [(k, 1000 * k, 1000 * k, f"a.{k % 3}", "0x1A" if k % 2 else "oops", None, False) for k in range(30)]
+    df = spark.createDataFrame(rows, "seq long, ts_ms long, wall_ms long, subject string, payload string, reply_to string, replaying boolean")
+    rules = '(on "a.*" (publish! "o.x" payload-float)) (on "a.*" (publish! "o.y" (moving-avg (+ 1 2) payload-float))) (every :ms 10000 (publish! "tick" 1)) (on "none" (publish! "o.z" (moving-avg (+ 1 2) payload-float)))'
+    got = {r.rule_idx: (r.matched, r.emitted, r.suppressed, r.failures) for r in engine.statistics(rules, df).collect()}
+    assert got[0] == (30, 15, 0, 15) and got[1] == (30, 15, 0, 15) and got[3] == (0, 0, 0, 0)
+    assert got[2][0] == got[2][1] == 3
+
+
+def test_subscriptions_by_their_beginnings(spark):
+    """Filters of all shapes against the plain matcher, without a nested loop."""
+    from tidegate import engine
+    from tidegate.lang.program import filter_matches
+
+    subjects = ["a", "a.b", "a.b.c", "b.a", "a.x$y", "x.b.c", "a..b", "b"]
+    filters = ["a", "a.b", "a.*", "a.>", ">", "*", "*.b.>", "a.b.c", "a.*.c", "a.x$y", "b.>", "none"]
+    messages = spark.createDataFrame([(k, s, "p") for k, s in enumerate(subjects * 3)], "seq long, subject string, payload string")
+    subs = spark.createDataFrame([(k, f, 2 if f == "a.>" else None) for k, f in enumerate(filters)], "sid int, filter string, most long")
+    out = engine.delivered(subs, messages)
+    want = []
+    for k, f in enumerate(filters):
+        mine = [(k, n) for n, s in enumerate(subjects * 3) if filter_matches(f, s)]
+        want += mine[:2] if f == "a.>" else mine
+    assert sorted((r.sid, r.seq) for r in out.collect()) == sorted(want)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_republished_messages_are_not_joined_back(spark):
+    from tidegate import engine
+
+    df = spark.createDataFrame([(k, k, 7 * k, "a.b", str(k), None, k > 2) for k in range(5)], "seq long, ts_ms long, wall_ms long, subject string, payload string, reply_to string, replaying boolean")
+    out = engine.run('(on "a.b" :reentrant true (publish! "c.d" payload)) (on "c.d" (when replaying? (publish! "e" (now :date))))', df)
+    assert sum(r.subject == "e" for r in out.collect()) == 2
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()

@@ -60,3 +60,19 @@ def test_capture():
     assert patterns.first_group("[0-9]+", "id=7") == "7"
     assert patterns.first_group("a(b)?", "a") is None
     assert patterns.compiled("foo$").search("foo\n") is None
+
+
+def test_hexadecimal_texts_read_alike(spark):
+    """The Column and the Python reading on random spellings, valid and not."""
+    import random
+    import struct
+
+
+    r = random.Random(3)
+    digits = lambda n: "".join(r.choice("0123456789abcdefABCDEF") for _ in range(n))
+    texts = ["0x1A", "0x", "0x.8", "-0x0", "0x0p99999999999999999999", "0x1p-1022", "0x1p-1023", "0x1p1024", "0x1.fffffffffffff7ffp0", " +0X1.8P+2", "0x1.8p", "0x10 ", "0x" + "f" * 100, "0x" + "f" * 126, "nan", "-nan", "+NaN", "-inf", "Infinity", "xnan", "1e400", "1e-400", "0e9", " " * 130 + "nan"]
+    texts += [r.choice(["", "-", "+", " "]) + "0x" + digits(r.randint(0, 25)) + r.choice(["", "." + digits(r.randint(0, 20))]) + r.choice(["", f"p{r.randint(-1100, 1100)}"]) for _ in range(500)]
+    texts += ["".join(r.choice("0019.eEpPxX+-af \t") for _ in range(r.randint(1, 8))) for _ in range(2000)]
+    bits = lambda x: None if x is None else "nan" if x != x else struct.pack("d", x)
+    for row in spark.createDataFrame([(t,) for t in texts], "t string").select("t", values.number_of(F.col("t")).alias("x")).collect():
+        assert bits(row.x) == bits(values.to_number(row.t)), row

@@ -40,9 +40,9 @@ def run(program: Program | str, messages: DataFrame, linger_ms: int = LINGER_MS,
     return finished(rows)
 
 
-def finished(rows: DataFrame) -> DataFrame:
+def finished(rows: DataFrame, *carried: str) -> DataFrame:
     text = F.coalesce("payload_text", values.text_of_number(F.col("payload_num"), F.col("places")))
-    return rows.select("path", "rule_idx", "ts_ms", "subject", text.alias("payload"), "payload_num", "depth", "source")
+    return rows.select("path", "rule_idx", "ts_ms", "subject", text.alias("payload"), "payload_num", "depth", "source", *carried)
 
 
 def _timed(x) -> bool:
@@ -152,30 +152,36 @@ def _cascade(program: Program, order: list[Rule], messages: DataFrame, t_end: in
         for shapes, rows in fed:
             if any(may_match(p, r.filter) for p in shapes):
                 frame = frame.unionByName(rows)
-        out = RulePlan(program, r, frame, "path", t_end, forms, symbols).emissions()
-        yield out
-        if r.reentrant:
-            told = finished(out).where(F.col("depth") < MAX_DEPTH)
-            times = messages.select("seq", "wall_ms", "replaying")
-            again = told.withColumn("seq", F.col("path")[0]).join(times, "seq").select(
-                "seq", "ts_ms", "wall_ms", "subject", "payload", F.lit(None).cast("string").alias("reply_to"), "replaying", "path", (F.col("depth") + 1).alias("depth")
-            )
-            fed.append((published(r.body, r.filter), again.select(*base.columns)))
+        if not r.reentrant:
+            yield RulePlan(program, r, frame, "path", t_end, forms, symbols).emissions()
+            continue
+        # what a republished message has of the first one comes along, so that nothing is joined back
+        of_first = ("wall_ms", "replaying")
+        out = RulePlan(program, r, frame, "path", t_end, forms, symbols).emissions(*of_first)
+        yield out.drop(*of_first)
+        told = finished(out, *of_first).where(F.col("depth") < MAX_DEPTH)
+        again = told.select(
+            F.col("path")[0].alias("seq"), "ts_ms", "wall_ms", "subject", "payload", F.lit(None).cast("string").alias("reply_to"), "replaying", "path", (F.col("depth") + 1).alias("depth")
+        )
+        fed.append((published(r.body, r.filter), again.select(*base.columns)))
 
 
 def _ticks(program: Program, rule: Rule, messages: DataFrame, t_end: int | None, forms: dict | None, symbols: dict | None) -> DataFrame:
-    """A timer rule: its body on a frame of ticks, one row each."""
-    spark = messages.sparkSession
+    plan = _tick_plan(program, rule, messages, t_end, forms, symbols)
+    return messages.sparkSession.createDataFrame([], EMISSION_ROWS) if plan is None else plan.emissions().withColumn("source", F.lit("timer"))
+
+
+def _tick_plan(program: Program, rule: Rule, messages: DataFrame, t_end: int | None, forms: dict | None, symbols: dict | None) -> RulePlan | None:
+    """A timer rule: its body on a frame of ticks, one row each; none without messages."""
     if t_end is None:
-        return spark.createDataFrame([], EMISSION_ROWS)
+        return None
     start = messages.agg(F.min("ts_ms").alias("t0"))
     grid = start.select(F.explode(F.expr(f"case when t0 + {rule.every_ms} <= {t_end} then sequence(t0 + {rule.every_ms}, {t_end}L, {rule.every_ms}L) end")).alias("ts_ms"))
     frame = grid.select(
         F.col("ts_ms").alias("seq"), "ts_ms", F.col("ts_ms").alias("wall_ms"), F.lit("").alias("subject"), F.lit("").alias("payload"), F.lit(None).cast("string").alias("reply_to"), F.lit(False).alias("replaying"),
         F.array(F.lit(-1).cast("bigint"), F.col("ts_ms")).alias("path"), F.lit(0).alias("depth"),
     )
-    plan = RulePlan(program, replace(rule, filter="", every_ms=None), frame, "seq", t_end, forms, symbols)
-    return plan.emissions().withColumn("source", F.lit("timer"))
+    return RulePlan(program, replace(rule, filter="", every_ms=None), frame, "seq", t_end, forms, symbols)
 
 
 # ---------------------------------------------------------------- the machine on tables
@@ -246,19 +252,57 @@ def machine_run(program: Program, messages: DataFrame, t_end: int | None, forms:
 # ---------------------------------------------------------------- tables beside the emissions
 
 
+COUNTS = "rule_idx int, matched bigint, emitted bigint, suppressed bigint, failures bigint"
+
+
+def machine_statistics(program: Program, rule: Rule, messages: DataFrame, t_end: int | None) -> DataFrame:
+    """``statistics`` of a rule that has no plan: the machine's counters, by subject, added up."""
+    alone = Program([rule], program.lvc, user_forms=program.user_forms)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tidegate.runtime.machine import Machine
+
+        machine, subject, total = None, object(), [0, 0, 0, 0]
+
+        def leave() -> None:
+            if machine is not None:
+                if t_end is not None:
+                    machine.finish(t_end)
+                total[1:] = [a + b for a, b in zip(total[1:], machine.stats[rule.index], strict=True)]
+
+        for seq, ts, wall, s, payload, reply, replaying in _rows(batches):
+            if s != subject:
+                leave()
+                machine, subject = Machine(alone), s
+            total[0] += 1
+            machine.feed(seq, ts, s, payload or "", reply, wall, bool(replaying))
+        leave()
+        yield pa.RecordBatch.from_arrays([pa.array([rule.index], pa.int32()), *(pa.array([n], pa.int64()) for n in total)], names=["rule_idx", "matched", "emitted", "suppressed", "failures"])
+
+    mine = messages.where(matches(rule.filter, F.col("subject"))).select(*COLUMNS)
+    parts = mine.repartition("subject").sortWithinPartitions("subject", "seq").mapInArrow(work, COUNTS)
+    # without a message that matches there may be no task, and the sums are of nothing
+    return parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("matched", "emitted", "suppressed", "failures"))).select(F.lit(rule.index).alias("rule_idx"), "*")
+
+
 def statistics(program: Program | str, messages: DataFrame, linger_ms: int = LINGER_MS) -> DataFrame:
-    """``rule_idx``, ``matched``, ``emitted``, ``suppressed``, ``failures`` by planned rule."""
+    """``rule_idx``, ``matched``, ``emitted``, ``suppressed``, ``failures`` by rule. A timer rule matches its
+    ticks. Each rule is counted over the messages as they came (re-entry isn't followed)."""
     program = load(program) if isinstance(program, str) else program
     ship(messages.sparkSession)
     t_end = messages.agg(F.max("ts_ms").alias("t")).first().t
-    out = None
+    t_end = None if t_end is None else t_end + linger_ms
+    out = messages.sparkSession.createDataFrame([], COUNTS)
     for r in program.rules:
-        if r.every_ms is not None:
-            continue
-        plan = RulePlan(program, r, messages, "seq", None if t_end is None else t_end + linger_ms)
-        emitted = plan.emissions().agg(F.count("*").alias("emitted"))
-        one = plan.statistics().join(emitted, F.lit(True)).select("rule_idx", "matched", "emitted", "suppressed", "failures")
-        out = one if out is None else out.unionAll(one)
+        try:
+            plan = _tick_plan(program, r, messages, t_end, None, None) if r.every_ms is not None else RulePlan(program, r, messages, "seq", t_end)
+            if plan is None:
+                continue
+            emitted = plan.emissions().agg(F.count("*").alias("emitted"))
+            one = plan.statistics().join(emitted, F.lit(True)).select("rule_idx", "matched", "emitted", "suppressed", "failures")
+        except NotPlannable:
+            one = machine_statistics(program, r, messages, t_end)
+        out = out.unionAll(one)
     return out
 
 
@@ -304,12 +348,23 @@ def delivered(subscriptions: DataFrame, messages: DataFrame) -> DataFrame:
         if name not in subs.columns:
             subs = subs.withColumn(name, F.lit(None).cast(kind))
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace("filter", r"([.$^+?{}\[\]()|\\])", r"\\$1"), r"\*", "[^.]+"), r"(^|\\\.)>$", "$1.+")
+    # a filter's tokens before its first wildcard are what a message must begin with: an equality,
+    # so that the pattern is held only against messages that do
     subs = subs.withColumn("_pattern", F.concat(F.lit("(?s)^"), body, F.lit("\\z")))
-    met = messages.join(F.broadcast(subs) if subs.count() <= 65_536 else subs, F.expr("subject rlike _pattern"))
+    subs = subs.withColumn("_begin", F.regexp_extract("filter", r"^((?:[^.*>]+\.)*[^.*>]*\z|(?:[^.*>]+\.)*)", 1))
+    subs = subs.withColumn("_begin", F.regexp_replace("_begin", r"\.\z", ""))
+    begins = subs.agg(F.collect_set(F.size(F.split(F.col("_begin"), r"\."))), F.max(F.col("_begin") == "")).first()
+    lengths = sorted({n for n in begins[0]}) or [1]
+    tokens = F.split("subject", r"\.")
+    starts = F.array_distinct(F.array(*([F.lit("")] if begins[1] else []), *(F.concat_ws(".", F.slice(tokens, 1, n)) for n in lengths)))
+    met = messages.withColumn("_begin", F.explode(starts)).join(F.broadcast(subs) if subs.count() <= 65_536 else subs, "_begin").where("subject rlike _pattern")
     group = Window.partitionBy("seq", "filter", "queue").orderBy(F.xxhash64("seq", "sid"), "sid")
-    met = met.withColumn("_k", F.when(F.col("queue").isNotNull(), F.row_number().over(group)).otherwise(1)).where("_k = 1")
+    one = met.where("queue is not null").withColumn("_k", F.row_number().over(group)).where("_k = 1").drop("_k")
+    met = met.where("queue is null").unionByName(one)
+    # only what ends after some deliveries needs them counted
     turn = Window.partitionBy("sid").orderBy("seq")
-    met = met.withColumn("_turn", F.row_number().over(turn)).where("most is null or _turn <= most")
+    ended = met.where("most is not null").withColumn("_turn", F.row_number().over(turn)).where("_turn <= most").drop("_turn")
+    met = met.where("most is null").unionByName(ended)
     return met.select("sid", "seq", "subject", "payload")
 
 

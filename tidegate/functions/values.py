@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 #: What a number may look like as a text: blanks first, sign, decimal or hexadecimal, inf or nan.
 NUMBER = re.compile(r"[ \t\n\v\f\r]*([+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)(?:[pP][+-]?[0-9]+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN]))")
-SMALLEST = 2.2250738585072014e-308
+SMALLEST, LARGEST = 2.2250738585072014e-308, 1.7976931348623157e308
 
 
 def to_number(text: str) -> float | None:
@@ -51,19 +51,22 @@ def fixed_text(x: float, places: int) -> str:
 # ---------------------------------------------------------------- as Columns
 
 
-def number_of(text: Column) -> Column:
-    """``to_number`` for decimal spellings, inf and nan, in built-in functions; null if there is none.
-    (Hexadecimal texts, which telemetry doesn't hold, count as no number here.)"""
-    plain = text.rlike(r"^[ \t\n\x0B\f\r]*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z") & (F.octet_length(text) <= 127)
-    x = F.trim(text).try_cast("double")
-    in_range = (F.abs(x) < float("inf")) & ((F.abs(x) >= SMALLEST) | ~F.regexp_extract(text, r"^([^eE]*)", 1).rlike("[1-9]"))
-    word = F.lower(F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+", ""))
-    return (
-        F.when(plain, F.when(in_range, x))
-        .when(word.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
-        .when(word.isin("-inf", "-infinity"), F.lit(float("-inf")))
-        .when(word.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
-    )
+BLANKS = r"^[ \t\n\x0B\f\r]*"
+
+
+def spelled(text: Column) -> Column:
+    """The double that a text spells, out of range or not; hexadecimal ones get the power that the cast wants."""
+    number = BLANKS + r"[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)(?:[pP][+-]?[0-9]+)?|(?i:inf|infinity|nan))\z"
+    return F.when(text.rlike(number) & (F.octet_length(text) <= 127), F.regexp_replace(text, r"^([^xX]*[xX][^pP]*)\z", "$1p0")).try_cast("double")
+
+
+def number_of(text: Column, x: Column | None = None) -> Column:
+    """``to_number`` in built-in functions; null if there is none. ``x``: a column with ``spelled(text)``,
+    which keeps generated code small."""
+    x = spelled(text) if x is None else x
+    as_it_is = BLANKS + r"[+-]?(?:[0.]+(?:[eE][+-]?[0-9]+)?|0[xX][0.]+(?:[pP][+-]?[0-9]+)?|(?i:inf|infinity))\z"
+    signed_nan = text.rlike(BLANKS + r"[+-](?i:nan)\z") & (F.octet_length(text) <= 127)
+    return F.when(F.abs(x).between(SMALLEST, LARGEST) | F.isnan(x) | text.rlike(as_it_is), x).when(signed_nan, F.lit(float("nan")))
 
 
 def divide(a: Column, b: Column) -> Column:

@@ -95,7 +95,7 @@ CASES: dict[str, tuple[str, str, str, str | None]] = {
     "if": (to("(if (> payload-float 50) payload-float (- payload-float))"), "n", "value", q_num("CASE WHEN x > 50 THEN x ELSE -x END")),
     "when": (one('(when (> payload-float 50) (publish! "o.x" payload-float))'), "n", "value", q_num("x", "x > 50")),
     "do": (one('(do (publish! "o.x" payload-float) (publish! "o.y" (* 2 payload-float)))'), "n", "value", f"WITH {M} SELECT seq, 'o.x' AS subject, {MICRO.format('x')} FROM m UNION ALL SELECT seq, 'o.y' AS subject, {MICRO.format('2 * x')} FROM m"),
-    "and": (to("(and (> payload-float 50) payload-float)"), "t", "value", None),
+    "and": (to("(and (> payload-float 50) payload-float)"), "n", "value", q_num("CASE WHEN x > 50 THEN x END")),
     "and_guard": (one('(when (and (> payload-float 20) (< payload-float 60)) (publish! "o.x" payload-float))'), "n", "value", q_num("x", "x > 20 AND x < 60")),
     "or": (one('(when (or (> payload-float 90) (< payload-float 10)) (publish! "o.x" payload-float))'), "n", "value", q_num("x", "x > 90 OR x < 10")),
     "not": (one('(when (not (> payload-float 50)) (publish! "o.x" payload-float))'), "n", "value", q_num("x", "NOT x > 50")),
@@ -125,7 +125,7 @@ CASES: dict[str, tuple[str, str, str, str | None]] = {
     "matches": (one('(when (matches? "k.: [1-4][0-9]?}$" payload) (publish! "o.x" payload))'), "t", "props", q_text("props", "regexp_matches(props, 'k.: [1-4][0-9]?}$')")),
     "re_capture": (one('(-> (re-capture ": ([0-9]+)" payload) (publish! "o.x"))'), "t", "props", q_text("regexp_extract(props, ': ([0-9]+)', 1)", "regexp_matches(props, ': ([0-9]+)')")),
     "re_replace": (to('(re-replace "[0-9]+" "<n>" payload)'), "t", "props", q_text("regexp_replace(props, '[0-9]+', '<n>', 'g')")),
-    "re_replace_empty": (to('(re-replace "7*" "-" payload)'), "t", "props", None),
+    "re_replace_empty": (to('(re-replace "7*" "-" payload)'), "t", "props", q_text("regexp_replace(props, '7*', '-', 'g')")),
     "now_date": (to("(now :date)"), "t", "value", q_text("strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d')")),
     "now_hour": (to("(now :hour)"), "t", "value", q_text("strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H')")),
     "now_minute": (to("(now :minute)"), "t", "value", q_text("strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H%M')")),
@@ -175,7 +175,7 @@ CASES: dict[str, tuple[str, str, str, str | None]] = {
     # effects
     "publish_text": (one('(publish! "o.x" payload)'), "t", "props", q_text("props")),
     "publish_places": (to(":dp 1 payload-float"), "t", "value", q_text("printf('%.1f', x)")),
-    "publish_shortest": (to("(round 1 payload-float)"), "t", "value", None),
+    "publish_shortest": (to("(round 1 payload-float)"), "t", "value", q_text(f"regexp_replace(printf('%.1f', {STABLE}), '\\.0$', '')")),
     "reply": (one("(reply! payload-float)"), "n", "value", f"WITH {M} SELECT seq, 'inbox.' || user_id AS subject, {MICRO.format('x')} FROM m WHERE event_type = 'click'"),
     "print": (to('(print! "seen" payload-float)'), "n", "value", q_num("x")),
     "count": (one("(count!)"), "n", "value", q_num("rn", subject="subject || '.count'")),
@@ -198,7 +198,8 @@ CASES: dict[str, tuple[str, str, str, str | None]] = {
     # re-entry: rules that feed rules
     "funnel": ('(on "events.purchase.*" :reentrant true (publish! "all.purchase" payload)) (on "all.purchase" (publish! "all.avg" :dp 3 (moving-avg 2 payload-float)))', "n", "value",
         f"WITH {M}, p AS (SELECT * FROM m WHERE event_type = 'purchase') SELECT seq, 'all.purchase' AS subject, CAST(NULL AS BIGINT) AS v_micro FROM p UNION ALL SELECT seq, 'all.avg', {MICRO.format('avg(x) OVER (ORDER BY seq ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)')} FROM p"),
-    "reentry_loop": ('(on "events.error.1" :reentrant true (publish! "events.error.1" payload))', "t", "value", None),
+    "reentry_loop": ('(on "events.error.1" :reentrant true (publish! "events.error.1" payload))', "t", "props",
+        f"WITH {M} SELECT seq, subject, props AS s FROM m, range(9) WHERE subject = 'events.error.1'"),
     "demux_then_delta": ('(on "events.*.*" :reentrant true (json-demux! "k" payload)) (on "events.*.*.k" (publish! "o.x" (delta payload-float)))', "n", "props",
         f"WITH {M} SELECT seq, subject || '.k' AS subject, {MICRO.format('k')} FROM m UNION ALL SELECT seq, 'o.x', {MICRO.format(f'k - coalesce(lag(k) {W}, k)')} FROM m"),
 }
@@ -245,6 +246,11 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.statistics('(on "events.*.*" (-> payload-float (round 0) (squelch) (publish! "o.x")))', sources.events(spark, sf_dir))
 
 
+def stats_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a rule whose window size is computed, which the machine runs."""
+    return engine.statistics('(on "events.*.*" (publish! "o.x" (moving-avg (+ 1 2) payload-float)))', sources.events(spark, sf_dir))
+
+
 def lvc_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.replayed('(lvc ["events.purchase.>"])', sources.events(spark, sf_dir, "props"), "events.*.*", 500)
 
@@ -262,7 +268,7 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sse_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.envelopes(sources.events(spark, sf_dir, "props").where("subject = 'events.click.5'"))
+    return sources.envelopes(sources.events(spark, sf_dir, "props"))
 
 
 EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -271,9 +277,10 @@ EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "queue_group": (queue_group, f"WITH {M} SELECT seq, subject FROM m WHERE event_type = 'click'"),
     "statistics": (stats, f"WITH {M}, r AS (SELECT *, floor(x + 0.5) AS v FROM m), p AS (SELECT *, lag(v) {W} AS pv, row_number() {W} AS rn FROM r) SELECT CAST(0 AS INTEGER) AS rule_idx, count(*) AS matched, CAST(sum(CASE WHEN rn = 1 OR v <> pv THEN 1 ELSE 0 END) AS BIGINT) AS emitted, CAST(sum(CASE WHEN rn = 1 OR v <> pv THEN 0 ELSE 1 END) AS BIGINT) AS suppressed, CAST(0 AS BIGINT) AS failures FROM p"),
     "lvc_replay": (lvc_replay, f"WITH {M} SELECT max(seq) AS seq, '$LVC.' || subject AS subject, arg_max(props, seq) AS payload, TRUE AS cached FROM m WHERE event_type = 'purchase' AND seq <= 500 GROUP BY subject UNION ALL SELECT seq, '$LVC.' || subject, props, FALSE FROM m WHERE event_type = 'purchase' AND seq > 500"),
+    "statistics_machine": (stats_machine, f"WITH {M}, r AS (SELECT x, row_number() {W} AS rn FROM m) SELECT CAST(0 AS INTEGER) AS rule_idx, count(*) AS matched, count(*) AS emitted, CAST(0 AS BIGINT) AS suppressed, CAST(0 AS BIGINT) AS failures FROM r"),
     "stats_messages": (stats_messages, f"WITH {M}, r AS (SELECT *, floor(x + 0.5) AS v FROM m), p AS (SELECT *, lag(v) {W} AS pv, row_number() {W} AS rn FROM r), s AS (SELECT count(*) AS n, sum(CASE WHEN rn = 1 OR v <> pv THEN 1 ELSE 0 END) AS e FROM p) SELECT '$STATS.rules.0.matched' AS subject, CAST(n AS VARCHAR) AS payload FROM s UNION ALL SELECT '$STATS.rules.0.emitted', CAST(CAST(e AS BIGINT) AS VARCHAR) FROM s UNION ALL SELECT '$STATS.rules.0.suppressed', CAST(CAST(n - e AS BIGINT) AS VARCHAR) FROM s UNION ALL SELECT '$STATS.rules.0.failures', '0'"),
     "export": (export_rows, q_num("x")),
-    "sse_envelopes": (sse_envelopes, f"""WITH {M} SELECT '{{"subject":"' || subject || '","payload":"' || replace(props, '"', '\\"') || '"}}' AS value FROM m WHERE subject = 'events.click.5'"""),
+    "sse_envelopes": (sse_envelopes, f"""WITH {M} SELECT '{{"subject":"' || subject || '","payload":"' || replace(props, '"', '\\"') || '"}}' AS value FROM m"""),
 }
 
 

@@ -145,10 +145,10 @@ class RulePlan:
             if isinstance(v.literal, str):
                 x = values.to_number(v.literal)
                 return F.lit(x).cast("double"), F.lit(x is None)
-            x = self.put(values.number_of(v.col))
+            x = self.put(values.number_of(v.col, self.put(values.spelled(v.col))))
             return x, x.isNull()
         if v.kind == "dyn":
-            x = self.put(F.coalesce(v.col["n"], values.number_of(v.col["s"])))
+            x = self.put(F.coalesce(v.col["n"], values.number_of(v.col["s"], self.put(values.spelled(v.col["s"])))))
             return x, x.isNull()
         return F.lit(None).cast("double"), F.lit(True)
 
@@ -278,7 +278,7 @@ class RulePlan:
             low = F.lower(F.col("payload"))
             b = self.put(F.when(low.isin("true", "1", "on"), True).when(low.isin("false", "0", "off"), False))
             return Value("bool", b, b.isNull())
-        x = self.put(values.number_of(F.col("payload")))
+        x = self.put(values.number_of(F.col("payload"), self.put(values.spelled(F.col("payload")))))
         if name == "payload-int":
             ok = x.isNotNull() & (F.abs(x) < float("inf")) & (F.floor(x).cast("double") == x)
             return Value("num", x, ~F.coalesce(ok, F.lit(False)))
@@ -920,7 +920,8 @@ class RulePlan:
 
     # ---- results
 
-    def emissions(self) -> DataFrame:
+    def emissions(self, *carried: str) -> DataFrame:
+        """Rows of EMISSION_ROWS; with the message's columns that are ``carried``, for rules without timers."""
         parts = list(self.timers)
         if self.effects:
             one = F.struct
@@ -940,11 +941,12 @@ class RulePlan:
             parts.append(
                 rows.select(
                     F.concat(path.cast("array<bigint>"), F.array(F.lit(self.rule.index).cast("bigint"), F.col("e.k").cast("bigint"))).alias("path"), F.lit(self.rule.index).alias("rule_idx"), "ts_ms", F.col("e.subject").alias("subject"),
-                    F.col("e.n").alias("payload_num"), F.col("e.t").alias("payload_text"), F.col("e.p").alias("places"), (F.col("depth") if "depth" in self.df.columns else F.lit(0)).alias("depth"), F.lit("rule").alias("source"),
+                    F.col("e.n").alias("payload_num"), F.col("e.t").alias("payload_text"), F.col("e.p").alias("places"), (F.col("depth") if "depth" in self.df.columns else F.lit(0)).alias("depth"), F.lit("rule").alias("source"), *carried,
                 )
             )
         if not parts:
-            return self.df.sparkSession.createDataFrame([], EMISSION_ROWS)
+            none = self.df.sparkSession.createDataFrame([], EMISSION_ROWS)
+            return none.select("*", *(F.lit(None).cast(self.df.schema[c].dataType).alias(c) for c in carried))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
