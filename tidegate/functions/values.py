@@ -57,7 +57,8 @@ BLANKS = r"^[ \t\n\x0B\f\r]*"
 def spelled(text: Column) -> Column:
     """The double that a text spells, out of range or not; hexadecimal ones get the power that the cast wants."""
     number = BLANKS + r"[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)(?:[pP][+-]?[0-9]+)?|(?i:inf|infinity|nan))\z"
-    return F.when(text.rlike(number) & (F.octet_length(text) <= 127), F.regexp_replace(text, r"^([^xX]*[xX][^pP]*)\z", "$1p0")).try_cast("double")
+    powered = F.when(text.contains("x") | text.contains("X"), F.regexp_replace(text, r"^([^xX]*[xX][^pP]*)\z", "$1p0")).otherwise(text)
+    return F.when(text.rlike(number) & (F.octet_length(text) <= 127), powered).try_cast("double")
 
 
 def number_of(text: Column, x: Column | None = None) -> Column:
