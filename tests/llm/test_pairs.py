@@ -86,6 +86,22 @@ def test_repeated_rows_leave_one(spark):
     assert jaccard.one_of_each(df.limit(0)).count() == 0
 
 
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Tables as those of some GB of documents: members of clusters, and ids."""
+    who = spark.range(150_000).selectExpr("id", "id as root", "array(struct(0 as i, 0 as j, 0 as side)) as places")
+    assert jaccard.small(who) is who and jaccard.small(who.select("id")) is not jaccard.small(who.limit(9)) is not who
+    docs = spark.range(4000).selectExpr("if(id % 97 = 0, null, cast(id - 700 as int)) as doc_id", "id as bucket", "'x' as `a.b`")
+    docs = docs.unionAll(spark.range(3).selectExpr("cast(6 as int)", "id", "'y'"))
+    ids = spark.range(-350, 4000, 7).selectExpr("id as doc_id")
+    want = [(r.doc_id is not None and r.doc_id >= -350 and r.doc_id % 7 == 0, tuple(r)) for r in docs.collect()]
+    for most, cells in ((common.BROADCAST_BYTES, common.ID_CELLS), (0, common.ID_CELLS), (0, 64)):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(common, "ID_CELLS", cells)
+        for inside, got in zip((True, False), common.parted(docs, ids, "doc_id"), strict=True):
+            assert got.columns == docs.columns
+            assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str(r) for k, r in want if k is inside)
+
+
 def test_counting_in_two_stages(spark, monkeypatch):
     from pyspark.sql import functions as F
 
