@@ -102,6 +102,15 @@ def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
             assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str(r) for k, r in want if k is inside)
 
 
+def test_components_without_broadcasts(spark, monkeypatch):
+    rows = corpus(3)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame([*rows, rows[70], (None, rows[3][1])], "doc_id long, text string")
+    want = brute_force(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df.where("doc_id is not null")).collect()} == want
+    assert sorted(r.doc_id for r in jaccard.one_of_each(df).collect()) == sorted({c for _, c in want.values()})
+
+
 def test_counting_in_two_stages(spark, monkeypatch):
     from pyspark.sql import functions as F
 
