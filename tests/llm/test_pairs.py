@@ -184,6 +184,42 @@ def test_component_search(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_take_few_tasks(spark, monkeypatch):
+    """A chain, a star and cliques over 211 partitions that stay apart: solved by one task from the
+    start, by steps alone, and by one task after some steps."""
+    r = random.Random(8)
+    edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1300)] + [(a, b) for t in (2000, 3000) for a in range(t, t + 30) for b in range(t, a)] + [(7, 7), (4, 3)]
+    names = r.sample(range(-(10**12), 10**12), 4000)
+    rows = [(names[a], names[b]) for a, b in edges]
+    r.shuffle(rows)
+    root = common.forest(4000, *(np.array(x) for x in zip(*edges, strict=True)))
+    least = {c: min(names[k] for k in range(4000) if root[k] == c) for c in set(root)}
+    want = {names[k]: least[root[k]] for k in {k for e in edges for k in e}}
+    df = spark.createDataFrame(rows, "a long, b long")
+    for few in (0, 900):
+        monkeypatch.setattr(common, "FEW_LINKS", few)
+        assert {x.node: x.root for x in common.components(df).collect()} == want
+        assert len(rows) > few
+    monkeypatch.undo()
+    wide = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in wide}
+    context, group = spark.sparkContext, "few links"
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        context.setJobGroup(group, group)
+        got = common.components(df)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {x.node: x.root for x in got.collect()} == want
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s))
+    assert 0 < tasks < 1000, tasks
+
+
 @pytest.mark.parametrize("chunk", [4096, 16])
 def test_embeddings_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(pq, "CHUNK", chunk)
